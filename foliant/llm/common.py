@@ -201,17 +201,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def identified(docs: DataFrame, *keep: str) -> DataFrame:
-    """Columns uid, doc_id, text (and `keep`), with a uid that is unique and never null.
+def identified(docs: DataFrame, *keep: str) -> tuple[DataFrame, bool]:
+    """Columns uid, doc_id, text (and `keep`), with a uid that is unique and never null;
+    and whether uid is doc_id itself.
 
-    uid is doc_id where those are unique and present.  Otherwise (repeated rows, null
-    ids) it numbers the rows in order of doc_id, nulls last, then text; only doc_id is
-    read to find out.
+    It is where those are unique and present.  Otherwise (repeated rows, null ids) uid
+    numbers the rows in order of doc_id, nulls last, then text; only doc_id is read to
+    find out.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    ids = base.groupBy("doc_id").count()
-    odd = ids.filter("doc_id is null or count > 1").limit(1).count()
+    odd = base.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
     if not odd:
-        return base.select(F.col("doc_id").alias("uid"), "doc_id", "text", *keep)
+        return base.select(F.col("doc_id").alias("uid"), "doc_id", "text", *keep), True
     ordered = base.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    return cut(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *keep))
+    return cut(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *keep)), False
+
+
+def with_doc_ids(found: DataFrame, numbered: DataFrame, plain: bool) -> DataFrame:
+    """`found` with uid replaced by the doc_id that it stands for."""
+    if plain:
+        return found.withColumnRenamed("uid", "doc_id")
+    rest = [c for c in found.columns if c != "uid"]
+    return found.join(numbered.select("uid", "doc_id"), "uid").select("doc_id", *rest)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .packing import pack
 from .quality import quality_scores
+from .token_store import store_round_trip
 from .tokens import public_vocabulary
 
 
@@ -16,6 +17,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_vocabulary(), end_id=1, capacity=2048)
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_round_trip(documents(spark, sf_dir), public_vocabulary(), end_id=2)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir))
 
@@ -23,6 +28,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_packing": op7_packing,
+        "op8_token_store": op8_token_store,
         "op9_quality_rules": op9_quality_rules,
     }
 
