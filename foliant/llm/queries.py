@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .license_scan import scan_licenses
 from .packing import pack
 from .quality import quality_scores
 from .token_store import store_round_trip
@@ -25,11 +26,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_packing": op7_packing,
         "op8_token_store": op8_token_store,
         "op9_quality_rules": op9_quality_rules,
+        "op10_license_scan": op10_license_scan,
     }
 
 
