@@ -8,12 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .license_scan import scan_licenses
+from .line_dedup import SQL as LINE_SQL
+from .line_dedup import line_report
 from .packing import pack
+from .pii import find_pii
 from .quality import quality_scores
 from .token_store import store_round_trip
 from .tokens import public_vocabulary
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_vocabulary(), end_id=1, capacity=2048)
 
@@ -32,6 +43,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op5_line_dedup": op5_line_dedup,
         "op7_packing": op7_packing,
         "op8_token_store": op8_token_store,
         "op9_quality_rules": op9_quality_rules,
@@ -40,4 +53,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": LINE_SQL}
