@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .tokens import encoder
 
-WINDOW, GROUP = 2048, 64
+WINDOW, GROUP = 2048, 32
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:

@@ -21,6 +21,16 @@ _CUT = re.compile(r" (?=\S)")
 _MARKS = ".,;:!?*#$%&|"
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_LETTER = _byte_letters()
+
+
 def _ids(tokenizer, text: str) -> bytes:
     return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -31,17 +41,26 @@ class _Pieces(dict):
     def __init__(self, tokenizer, most: int):
         super().__init__()
         self.tokenizer, self.most, self.marks = tokenizer, most, {}
+        self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_MARKS)
         if len(word) < len(piece) and word.isalpha():
             ids = self[word] + self.mark(piece[len(word) :])
+        elif word.isalpha():
+            ids = self.word(" " + word)
+        elif piece[0] == "\n" and piece[1:].isalpha():
+            ids = self.mark("\n") + self.word(piece[1:])
         else:
             ids = _ids(self.tokenizer, piece if piece.startswith("\n") else " " + piece)
         if len(piece) <= LONGEST_PIECE and len(self) < self.most:
             self[piece] = ids
         return ids
 
+    def word(self, text: str) -> bytes:
+        """Ids of letters with or without a space before them: the pattern keeps them whole, so the model alone is asked."""
+        return array("I", [t.id for t in self.model.tokenize("".join([_LETTER[b] for b in text.encode()]))]).tobytes()
+
     def mark(self, text: str) -> bytes:
         """Ids of a run of marks that follows letters."""
         ids = self.marks.get(text)
