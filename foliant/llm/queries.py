@@ -10,6 +10,7 @@ from .common import documents
 from .license_scan import scan_licenses
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import line_report
+from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .quality import quality_scores
@@ -25,6 +26,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_vocabulary(), end_id=1, capacity=2048)
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op5_line_dedup": op5_line_dedup,
+        "op6_ngram_join": op6_ngram_join,
         "op7_packing": op7_packing,
         "op8_token_store": op8_token_store,
         "op9_quality_rules": op9_quality_rules,
