@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunk_dedup import dedup_chunks
 from .common import documents
+from .decontaminate import leaks
 from .license_scan import scan_licenses
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import line_report
@@ -14,6 +16,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .quality import quality_scores
+from .suffix_dedup import dedup_substrings
 from .token_store import store_round_trip
 from .tokens import public_vocabulary
 
@@ -22,6 +25,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir))
+
+
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_chunks(documents(spark, sf_dir))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
@@ -49,6 +64,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_chunk_dedup": op3_chunk_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_ngram_join": op6_ngram_join,
         "op7_packing": op7_packing,
