@@ -12,11 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy pass handles at a time (a longer document is one slice).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -201,7 +201,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def identified(docs: DataFrame, *keep: str) -> tuple[DataFrame, bool]:
+def identified(docs: DataFrame, *keep: Column) -> tuple[DataFrame, bool]:
     """Columns uid, doc_id, text (and `keep`), with a uid that is unique and never null;
     and whether uid is doc_id itself.
 
@@ -210,11 +210,12 @@ def identified(docs: DataFrame, *keep: str) -> tuple[DataFrame, bool]:
     find out.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    rest = base.columns[2:]
     odd = base.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
     if not odd:
-        return base.select(F.col("doc_id").alias("uid"), "doc_id", "text", *keep), True
+        return base.select(F.col("doc_id").alias("uid"), "doc_id", "text", *rest), True
     ordered = base.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    return cut(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *keep)), False
+    return cut(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *rest)), False
 
 
 def with_doc_ids(found: DataFrame, numbered: DataFrame, plain: bool) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Rolling, identified, partitions, slices, utf8
+from .common import Rolling, fmix, identified, partitions, slices, utf8
 from .deal import ABOUT, about, by_fragment, deal, fragment_of, spans_of, undeal, with_records
 from .frequent import frequent_prints
 
@@ -70,7 +70,8 @@ class Pieces:
         new = np.ones(len(at), dtype=bool)
         new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        self.hash, self.first, self.doc = h[at[first]], start[first], doc[first]
+        # Least hashes crowd at the low end; mixed again, they spread over the fragments.
+        self.hash, self.first, self.doc = fmix(h[at[first]] ^ _U(0xA0761D6478BD642F)), start[first], doc[first]
         self.count = np.diff(np.append(first, len(at)))
 
 
@@ -321,10 +322,17 @@ def repeated_strings(numbered: DataFrame, marks: DataFrame, crowd: tuple[np.ndar
                 start = np.repeat(begin, count) + inner
                 uid = np.repeat(np.array([u for _, u, _ in held]), count)
                 place = np.repeat(np.array([f for _, _, f in held]), count) + inner
+                rank = np.empty(len(start), dtype=np.int64)
+                rank[np.lexsort((place, uid))] = np.arange(len(start))
+                ranks, again = rank.tolist(), []
                 for group in deep_shallow(np.frombuffer(b"".join(t for t, _, _ in held), np.uint8), start):
                     if len(group) > 1:
-                        least = min(group, key=lambda i: (uid[i], place[i]))
-                        found += [(int(uid[i]), int(place[i]), int(place[i]) + LENGTH) for i in group if i != least]
+                        least = min(group, key=ranks.__getitem__)
+                        again += [i for i in group if i != least]
+                if again:
+                    again = np.array(again)
+                    a = place[again]
+                    yield about(uid[again], [a.astype("<u4"), (a + LENGTH).astype("<u4")])
             if found:
                 uid, a, b = (np.array(c) for c in zip(*found))
                 yield about(uid, [a.astype("<u4"), b.astype("<u4")])
