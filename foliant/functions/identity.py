@@ -63,7 +63,7 @@ def identity_names(*sources: Column) -> Column:
 
     def longest(pattern: str, keep) -> Column:
         runs = F.flatten(F.array(*[F.regexp_extract_all(F.regexp_replace(F.coalesce(s, F.lit("")), CAS, "|"), F.lit(pattern), F.lit(0)) for s in sources]))
-        runs = F.filter(F.transform(runs, F.trim), keep)
+        runs = F.filter(F.transform(runs, lambda x: F.trim(x)), keep)
         ranked = F.transform(runs, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x")))
         return F.array_max(ranked)["x"]
 

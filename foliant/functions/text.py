@@ -107,7 +107,7 @@ def join_fragments(c: Column | str) -> Column:
 
 def rebuild_block(c: Column | str) -> Column:
     """Lines joined to sentences: a line that ends a sentence keeps its end, others run on."""
-    lines = F.filter(F.transform(F.split(_string(c), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_string(c), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     joined = F.aggregate(lines, F.lit(""), lambda t, x: F.when(t == "", x).when(t.rlike(r"[.:!?؟]$"), F.concat(t, F.lit("\n"), x)).otherwise(F.concat(t, F.lit(" "), x)))
     return joined
 
