@@ -30,18 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, fmix, identified, partitions, shingles, slices, spread, utf8
+from .deal import blob, by_fragment, deal, fragment_of, undeal
+from .frequent import frequent_prints
 from .graph import components
 
 #: Words in a shingle; links at 100 * intersection >= PERCENT * union.
 SIZE, PERCENT = 5, 75
-#: Frequencies under LEAST count as rare; at most MOST_FREQUENT entries go to every task.
-LEAST, MOST_FREQUENT = 32, 1 << 20
-#: Classes that meet in a shingle are all paired up to CROWD; beyond, with PIVOTS of them at first.
-CROWD, PIVOTS = 24, 4
+#: Frequencies under LEAST count as rare.
+LEAST = 32
+#: Classes that meet in a shingle are all paired up to CROWD; beyond, with the PIVOTS of least identity (the same
+#: ones wherever the group meets) and their neighbours at first, then, for those outside the main component, with
+#: MORE_PIVOTS, and at last all that are still apart.
+CROWD, PIVOTS, MORE_PIVOTS = 24, 2, (16, 128)
 #: Shingles a task holds before it deals them out, and those that one fragment should verify.
 HELD, FRAGMENT = 2 << 20, 2 << 20
 #: Classes to be verified are looked up by a broadcast of at most this many ids, beyond by a join.
@@ -80,98 +84,19 @@ def signatures(numbered: DataFrame) -> DataFrame:
     return numbered.select("uid", "text").mapInArrow(run, "uid long, n long, cid long")
 
 
-def _deal(fragment: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each fragment that occurs: its entries' columns, one after another, as bytes."""
-    order = np.argsort(fragment, kind="stable")
-    fragment = fragment[order]
-    at = np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1])) if len(fragment) else np.empty(0, np.int64)
-    ends = np.append(at[1:], len(fragment))
-    columns = [c[order] for c in columns]
-    blobs = [np.array([e - a], "<u4").tobytes() + b"".join(c[a:e].tobytes() for c in columns) for a, e in zip(at, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(fragment[at].astype(np.int64)), pa.array(blobs, pa.binary())], ["fragment", "blob"])
-
-
-def _undeal(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = int(np.frombuffer(blob, "<u4", 1)[0]), 4
-        for column, kind in zip(out, kinds):
-            column.append(np.frombuffer(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(out, kinds)]
-
-
-def _by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs of each fragment of one partition."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for fragment, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            held.setdefault(fragment, []).append(blob.as_py())
-    while held:
-        yield held.popitem()
+def _dealt(fragment: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    numbers, blobs = deal(fragment, columns)
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["fragment", "blob"])
 
 
 def frequent_shingles(numbered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit fingerprints of the most frequent shingles, sorted, and the level of each (log2 of its count).
-
-    Counts cover all documents.  The table is bounded by MOST_FREQUENT: the level at which it
-    begins rises until it fits.
-    """
-    parts = partitions(numbered.sparkSession)
-    fragments = 4 * parts
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-
-        def deal() -> pa.RecordBatch:
-            prints = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint32)
-            # Sorted, and within a fragment as steps of 16 bits: 65535 stands for a longer way, gone in part.
-            fragment = (prints.astype(np.uint64) * _U(fragments)) >> _U(32)
-            base = ((fragment << _U(32)) + _U(fragments - 1)) // _U(fragments)
-            base[1:] = np.where(fragment[1:] == fragment[:-1], prints[:-1].astype(np.uint64), base[1:])
-            way = prints.astype(np.int64) - base.astype(np.int64)
-            more = way // 65535
-            steps = np.full(len(prints) + int(more.sum()), 65535, dtype="<u2")
-            steps[np.cumsum(more + 1) - 1] = (way - 65535 * more).astype(np.uint16)
-            return _deal(np.repeat(fragment.astype(np.int64), more + 1), [steps])
+    """Prints of the most frequent shingles and their levels, counted over all documents."""
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, _, h, _, _ in _sets(batches):
-            held.append((h >> _U(32)).astype(np.uint32))
-            total += len(h)
-            if total >= 2 * HELD:
-                yield deal()
-                held, total = [], 0
-        yield deal()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fragment, blobs in _by_fragment(batches):
-            base = -(-(fragment << 32) // fragments)
-            found = []
-            for blob in blobs:
-                (steps,) = _undeal([blob], ["<u2"])
-                found.append((np.cumsum(steps.astype(np.int64)) + base)[steps != 65535])
-            prints = np.sort(np.concatenate(found))
-            at = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
-            n = np.diff(np.append(at, len(prints)))
-            level = np.log2(n).astype(np.int64)
-            for x in np.unique(level[n >= LEAST]):
-                chosen = prints[at[(level == x) & (n >= LEAST)]].astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)]), pa.array([len(chosen)]), pa.array([chosen.tobytes()], pa.binary())], ["level", "n", "prints"])
-
-    dealt = numbered.select("uid", "text").mapInArrow(count, "fragment long, blob binary")
-    table = cut(dealt.repartition(parts, "fragment").mapInArrow(gather, "level long, n long, prints binary"))
-    sizes = {r["level"]: r["n"] for r in table.groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    first, total = max(sizes, default=0) + 1, 0
-    for level in sorted(sizes, reverse=True):
-        total += sizes[level]
-        if total > MOST_FREQUENT:
-            break
-        first = level
-    rows = [(r["level"], np.frombuffer(r["prints"], "<u4")) for r in table.filter(F.col("level") >= first).collect()]
-    prints = np.concatenate([p for _, p in rows]) if rows else np.empty(0, np.uint32)
-    levels = np.concatenate([np.full(len(p), x, np.uint8) for x, p in rows]) if rows else np.empty(0, np.uint8)
-    order = np.argsort(prints, kind="stable")
-    return prints[order], levels[order]
+            yield h
+
+    return frequent_prints(numbered.select("uid", "text"), hashes, LEAST)
 
 
 def _prefix(n: np.ndarray) -> np.ndarray:
@@ -217,8 +142,7 @@ def candidates(numbered: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
 
         def out() -> pa.RecordBatch:
             h, cid, n, place = (np.concatenate(c) for c in zip(*held))
-            fragment = ((h >> _U(40)) * _U(fragments)) >> _U(24)
-            return _deal(fragment.astype(np.int64), [h.astype("<u4"), ((h >> _U(32)) & _U(255)).astype("u1"), cid.astype("<u8"), n.astype("<u4"), np.minimum(place, 65535).astype("<u2")])
+            return _dealt(fragment_of(h, fragments), [h.astype("<u4"), ((h >> _U(32)) & _U(255)).astype("u1"), cid.astype("<u8"), n.astype("<u4"), np.minimum(place, 65535).astype("<u2")])
 
         for _, doc, h, n, cid in _sets(batches):
             new = np.array([c not in seen and not seen.add(c) for c in cid.tolist()], dtype=bool)
@@ -240,8 +164,8 @@ def candidates(numbered: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fragment, blobs in _by_fragment(batches):
-            low, high, cid, n, place = _undeal(blobs, ENTRY)
+        for fragment, blobs in by_fragment(batches):
+            low, high, cid, n, place = undeal(blobs, ENTRY)
             h = low.astype(np.uint64) | high.astype(np.uint64) << _U(32)
             order = np.lexsort((cid, h))
             h, cid, n, place = h[order], cid[order], n[order].astype(np.int64), place[order].astype(np.int64)
@@ -257,7 +181,7 @@ def candidates(numbered: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
                 first, count = at[crowded], size[crowded]
                 member = np.repeat(first, count) + spread(count)
                 for k in range(PIVOTS):
-                    pivot = np.repeat(first + count * k // PIVOTS, count)
+                    pivot = np.repeat(first + k, count)
                     a, b = np.append(a, pivot), np.append(b, member)
                 follows = spread(count) > 0
                 a, b = np.append(a, member[follows] - 1), np.append(b, member[follows])
@@ -294,25 +218,25 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, doc, h, _, cid in _sets(batches):
-            fragment = ((h >> _U(40)) * _U(fragments)) >> _U(24)
-            batch = _deal(fragment.astype(np.int64), [h.astype("<u8"), cid[doc].astype("<u8")])
+            batch = _dealt(fragment_of(h, fragments), [h.astype("<u8"), cid[doc].astype("<u8")])
             yield batch.append_column("is_set", pa.array([True] * batch.num_rows))
 
     def cut_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.array([batch.num_rows], "<u4").tobytes() + b"".join(np.asarray(batch.column(i)).astype("<i8").tobytes() for i in (0, 1))
             if batch.num_rows:
+                a, b, na, nb = (np.asarray(batch.column(i)).astype("<i8") for i in range(4))
+                both = blob([a, b, (na + nb).astype("<u4")])
                 yield pa.RecordBatch.from_arrays([pa.array(range(fragments)), pa.array([both] * fragments, pa.binary()), pa.array([False] * fragments)], ["fragment", "blob", "is_set"])
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, list[bytes]] = {}
         asked: dict[int, list[bytes]] = {}
         for batch in batches:
-            for fragment, blob, is_set in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                (sets if is_set else asked).setdefault(fragment, []).append(blob.as_py())
+            for fragment, data, is_set in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                (sets if is_set else asked).setdefault(fragment, []).append(data.as_py())
         for fragment in list(asked):
-            h, cid = _undeal(sets.pop(fragment, []), ["<u8", "<u8"])
-            a, b = (c.view(np.uint64) for c in _undeal(asked.pop(fragment), ["<i8", "<i8"]))
+            h, cid = undeal(sets.pop(fragment, []), ["<u8", "<u8"])
+            a, b, total = undeal(asked.pop(fragment), ["<u8", "<u8", "<u4"])
             order = np.lexsort((h, cid))
             h, cid = h[order], cid[order]
             ids, begin, size = np.unique(cid, return_index=True, return_counts=True)
@@ -323,7 +247,7 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
             i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
             here = (i < len(ids)) & (j < len(ids))
             here[here] = (ids[i[here]] == a[here]) & (ids[j[here]] == b[here])
-            a, b, i, j = a[here], b[here], i[here], j[here]
+            a, b, total, i, j = a[here], b[here], total[here], i[here], j[here]
             small = size[i] > size[j]
             i, j = np.where(small, j, i), np.where(small, i, j)
             step = max(1, (4 << 20) // max(1, int(size.max())))
@@ -336,19 +260,32 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
                 sums = np.concatenate([[0], np.cumsum(key[spot] == probe)])
                 ends = np.cumsum(n)
                 partial = sums[ends] - sums[ends - n]
-                some = partial > 0
-                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + step][some].view(np.int64)), pa.array(b[at : at + step][some].view(np.int64)), pa.array(partial[some])], ["a", "b", "partial"])
+                some = np.flatnonzero(partial > 0) + at
+                yield _dealt(fragment_of(fmix(a[some] ^ fmix(b[some])), 4 * parts), [a[some], b[some], total[some], partial[partial > 0].astype("<u4")])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_fragment(batches):
+            a, b, total, partial = undeal(blobs, ["<u8", "<u8", "<u4", "<u4"])
+            order = np.lexsort((b, a))
+            a, b, total, partial = a[order], b[order], total[order].astype(np.int64), partial[order].astype(np.int64)
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            common = np.add.reduceat(partial, first)
+            linked = first[100 * common >= PERCENT * (total[first] - common)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[linked].view(np.int64)), pa.array(b[linked].view(np.int64))], ["a", "b"])
 
     schema = "fragment long, blob binary, is_set boolean"
-    cuts = chosen.mapInArrow(cut_sets, schema).unionByName(pairs.select("a", "b").mapInArrow(cut_pairs, schema))
-    partial = cuts.repartition(parts, "fragment").mapInArrow(overlaps, "a long, b long, partial long")
-    sums = partial.groupBy("a", "b").agg(F.sum("partial").alias("common"))
-    sized = sums.join(pairs, ["a", "b"])
-    return sized.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    sized = pairs.select("a", "b", "na", "nb")
+    cuts = chosen.mapInArrow(cut_sets, schema).unionByName(sized.mapInArrow(cut_pairs, schema))
+    partial = cuts.repartition(parts, "fragment").mapInArrow(overlaps, "fragment long, blob binary")
+    return partial.repartition(parts, "fragment").mapInArrow(whole, "a long, b long")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes that met in a crowd, pass the filters, and are in different components."""
+def open_pairs(members: DataFrame, labels: DataFrame, first: int | None) -> DataFrame:
+    """Pairs of classes that met in a crowd, pass the filters, and are in different components.
+
+    With `first`, only those of a class outside its crowd's main component with the crowd's
+    `first` classes of least identity; else all.
+    """
     parts = partitions(members.sparkSession)
     known = members.join(labels, "a", "left").select("run", "a", "na", "nb", F.coalesce("label", "a").alias("label"))
     # Crowds of one component only need no more work.
@@ -362,17 +299,24 @@ def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
         order = np.lexsort((rows[4], rows[0]))
         key, cid, n, place, label = (c[order] for c in rows)
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        for first, end in zip(at, np.append(at[1:], len(key))):
+        for begin, end in zip(at, np.append(at[1:], len(key))):
             # Members lie by component; each meets those of later components.
-            own = label[first:end]
-            later = first + np.searchsorted(own, own, "right")
-            for low in range(first, end, 1024):
-                high = min(end, low + 1024)
-                begins = later[low - first : high - first]
-                count = end - begins
-                a = np.repeat(np.arange(low, high), count)
-                b = np.repeat(begins, count) + spread(count)
-                good = _pairs_of(n, place, (a, b))
+            own = label[begin:end]
+            later = begin + np.searchsorted(own, own, "right")
+            names, sizes = np.unique(own, return_counts=True)
+            outside = begin + np.flatnonzero(own != names[np.argmax(sizes)])
+            few = begin + np.argsort(cid[begin:end].view(np.uint64), kind="stable")[:first]
+            for low in range(begin, end, 1024):
+                if first is None:
+                    high = min(end, low + 1024)
+                    begins = later[low - begin : high - begin]
+                    count = end - begins
+                    a = np.repeat(np.arange(low, high), count)
+                    b = np.repeat(begins, count) + spread(count)
+                else:
+                    some = outside[low - begin : low - begin + 1024]
+                    a, b = np.repeat(some, len(few)), np.tile(few, len(some))
+                good = _pairs_of(n, place, (a, b)) & (label[a] != label[b])
                 a, b = a[good], b[good]
                 swap = cid[a] > cid[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -383,9 +327,9 @@ def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
-def join_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """(numbered documents; uid, n_shingles, component by uid; whether uid is doc_id)."""
-    numbered, plain = identified(docs)
+def join_components(docs: DataFrame, *keep: Column) -> tuple[DataFrame, DataFrame, bool]:
+    """(numbered documents with `keep`; uid, n_shingles, component by uid; whether uid is doc_id)."""
+    numbered, plain = identified(docs, *keep)
     signed = cut(signatures(numbered))
     classes = cut(signed.filter("n > 0").groupBy("cid").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")))
     found = cut(candidates(numbered, frequent_shingles(numbered)))
@@ -393,9 +337,13 @@ def join_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     links = cut(verified(numbered, classes, pairs))
     members = found.filter("run is not null").select("run", "a", "na", "nb")
     if members.limit(1).count():
-        labels = components(links).withColumnRenamed("node", "a")
-        more = cut(open_pairs(members, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(verified(numbered, classes, more)))
+        known = pairs.select("a", "b")
+        for first in (*MORE_PIVOTS, None):
+            labels = components(links).withColumnRenamed("node", "a")
+            more = cut(open_pairs(members, labels, first).join(known, ["a", "b"], "left_anti"))
+            if more.limit(1).count():
+                links = cut(links.unionByName(verified(numbered, classes, more)))
+                known = known.unionByName(more.select("a", "b"))
     # From classes to their smallest documents.
     named = classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra"))
     other = classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb"))
@@ -417,3 +365,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = numbered.select("uid", "doc_id")
     first = ids.select(F.col("uid").alias("component"), F.col("doc_id").alias("component_id"))
     return found.join(ids, "uid").join(first, "component").select("doc_id", "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest id of their component, with all their columns."""
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    numbered, found, _ = join_components(docs, *own)
+    others = cut(found.filter("component <> uid").select("uid"))
+    gone = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    kept = numbered.join(gone, "uid", "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
