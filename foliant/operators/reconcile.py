@@ -18,16 +18,16 @@ def reconcile(existing: DataFrame, wanted: DataFrame, review: DataFrame, key: st
     Null keys never match.  A key under review is REVIEW whatever else is known; rows
     outside `scope` are never retired.
     """
-    e = existing.select(F.col(key).alias("_e"), *[F.col(f).alias(f"old_{f}") for f in fields], (scope if scope is not None else F.lit(True)).alias("_in"))
-    w = wanted.select(F.col(key).alias("_w"), *[F.col(f).alias(f"new_{f}") for f in fields])
+    e = existing.select(F.col(key).alias("_e"), *[F.col(f).alias(f"old_{f}") for f in fields], (scope if scope is not None else F.lit(True)).alias("_in"), F.lit(True).alias("_is_e"))
+    w = wanted.select(F.col(key).alias("_w"), F.lit(True).alias("_is_w"), *[F.col(f).alias(f"new_{f}") for f in fields])
     r = review.select(F.col(key).alias("_r")).filter("_r is not null").distinct()
     both = e.join(w, F.col("_e") == F.col("_w"), "full_outer").withColumn(key, F.coalesce("_e", "_w"))
     both = both.join(r, F.col(key) == F.col("_r"), "full_outer").withColumn(key, F.coalesce(key, "_r"))
     changed = F.array_compact(F.array(*[F.when(~F.col(f"old_{f}").eqNullSafe(F.col(f"new_{f}")), F.lit(f)) for f in fields]))
     action = (
         F.when(F.col("_r").isNotNull(), "REVIEW")
-        .when(F.col("_e").isNull(), "INSERT")
-        .when(F.col("_w").isNull(), F.when(F.col("_in"), "RETIRE").otherwise("UNCHANGED"))
+        .when(F.col("_is_e").isNull(), "INSERT")
+        .when(F.col("_is_w").isNull(), F.when(F.col("_in"), "RETIRE").otherwise("UNCHANGED"))
         .when(F.size(changed) > 0, "UPDATE")
         .otherwise("UNCHANGED")
     )
