@@ -5,13 +5,14 @@ document, then place).  Every such string holds one anchor: of its substrings of
 bytes the one with the least hash, leftmost.  Equal strings have equal anchors, so the
 corpus splits into fragments by anchor that can be sorted apart:
 
-1. Anchors are counted over the corpus; those that occur once need no more work, as do the
-   strings around them.  Very frequent ones are a bounded table (see `frequent`).
-2. The places around the others are sent as bytes, with all strings of that anchor, to its
-   fragment.  Equal pieces are one entry, of which the earliest counts.  Strings around a
-   very frequent anchor are sent one by one and dealt by their own hash instead, so that
-   an anchor that is in every document doesn't make one task's work.
-3. In a fragment the strings that begin at each place of the remaining pieces are sorted
+1. The piece of text that holds all strings of an anchor is sent to the anchor's fragment
+   as a hash.  Of pieces that are equal as a whole the earliest counts and the others
+   repeat; an anchor with one kind of piece needs no more work.  Very frequent anchors are
+   a bounded table (see `frequent`).
+2. Where an anchor has several kinds of pieces, the earliest of each kind is sent as bytes.
+   Strings around a very frequent anchor are sent one by one as 128-bit digests and dealt by
+   those instead, so that an anchor that is in every document doesn't make one task's work.
+3. In a fragment the strings that begin at each place of these pieces are sorted
    deep-shallow: a multikey quicksort on words of eight bytes down to SHALLOW bytes, then a
    blind trie for each group that is still equal.  Neighbours whose common prefix is the
    whole LENGTH are equal strings, and all but the earliest are repeats.
@@ -31,16 +32,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Rolling, fmix, identified, partitions, slices, utf8
-from .deal import ABOUT, about, by_fragment, deal, fragment_of, spans_of, undeal, with_records
+from .common import BYTE_VALUE, Rolling, fmix, identified, partitions, slices, spread, utf8
+from .deal import ABOUT, about, blob, by_fragment, deal, fragment_of, spans_of, undeal, with_records
 from .frequent import frequent_prints
 
-LENGTH, ANCHOR, SHALLOW = 100, 40, 24
-#: Anchors this frequent have their strings dealt one by one.
-CROWD = 512
+LENGTH, ANCHOR, SHALLOW = 100, 24, 24
+#: Anchors this frequent have their strings dealt one by one, as digests of DIGEST bytes.
+CROWD, DIGEST = 2048, 16
 HELD = 1 << 20
 
 _U = np.uint64
+_OTHER = fmix(BYTE_VALUE ^ _U(0x452821E638D01377))
 
 
 class Pieces:
@@ -153,28 +155,60 @@ def deep_shallow(data: np.ndarray, start: np.ndarray, size: int = LENGTH, shallo
             yield members
 
 
-def marked(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """For each document the first starts of pieces whose anchor occurs elsewhere (rows of deal.ABOUT)."""
+#: What records about a document say: pieces to be compared by their bytes, or ranges that are known to repeat.
+COMPARE, REPEAT = b"\0", b"\1"
+
+
+def _tagged(tag: bytes, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([tag + x.as_py() for x in batch.column(1)], pa.binary())], ["uid", "records"])
+
+
+def _pass_on(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows for fragments; those about documents (column 2) are put into `passed`."""
+    for batch in batches:
+        told = batch.column(2).is_valid()
+        some = batch.filter(told)
+        if some.num_rows:
+            passed.append(pa.RecordBatch.from_arrays([some.column(2), some.column(1)], ["uid", "records"]))
+        yield batch.filter(pc.invert(told))
+
+
+def compared(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """What anchors tell about each document, as tagged records.
+
+    Pieces of one anchor that are equal as a whole (by hash) are one kind: all but the
+    earliest repeat.  Where an anchor has several kinds, the earliest piece of each is to
+    be compared with the others by its bytes.
+    """
     spark = numbered.sparkSession
     parts = partitions(spark)
     fragments = 4 * parts
     table = spark.sparkContext.broadcast(crowd[0])
+    kinds = ["<u4", "u1", "<u4", "<i8", "<u4", "u1"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def out() -> pa.RecordBatch:
-            h, uid, first = (np.concatenate(c) for c in zip(*held))
-            numbers, blobs = deal(fragment_of(h, fragments), [h.astype("<u4"), ((h >> _U(32)) & _U(255)).astype("u1"), uid.astype("<i8"), first.astype("<u4")])
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["fragment", "blob"])
+            h, c, uid, first, count = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((first, uid, c, h))
+            same = np.append(False, (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1]))
+            one, again = order[~same], order[same]
+            columns = [h.astype("<u4"), ((h >> _U(32)) & _U(255)).astype("u1"), c, uid.astype("<i8"), first.astype("<u4"), count.astype("u1")]
+            numbers, blobs = deal(fragment_of(h[one], fragments), [x[one] for x in columns])
+            uids, told = _ranges(uid[again], first[again], first[again] + count[again] + LENGTH - 1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(numbers + [u % fragments for u in uids], pa.int64()), pa.array(blobs + [REPEAT + x for x in told], pa.binary()), pa.array([None] * len(numbers) + uids, pa.int64())], ["fragment", "blob", "uid"]
+            )
 
         for part in slices(batches):
             data, bounds = utf8(part.column(1))
             pieces = Pieces(data, bounds)
             rare = ~_among(pieces.hash, table.value)
             if rare.any():
-                doc, first = pieces.doc[rare], pieces.first[rare]
-                held.append((pieces.hash[rare], np.asarray(part.column(0))[doc], first - bounds[doc]))
+                doc, first, count = pieces.doc[rare], pieces.first[rare], pieces.count[rare]
+                whole = (pieces.rolling.ranges(first, first + count + LENGTH - 1) >> _U(32)).astype("<u4")
+                held.append((pieces.hash[rare], whole, np.asarray(part.column(0))[doc], first - bounds[doc], count))
                 total += len(first)
             if total >= HELD:
                 yield out()
@@ -183,19 +217,38 @@ def marked(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFra
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_fragment(batches):
-            low, high, uid, first = undeal(blobs, ["<u4", "u1", "<i8", "<u4"])
+        passed: list[pa.RecordBatch] = []
+        for _, blobs in by_fragment(_pass_on(batches, passed)):
+            low, high, c, uid, first, count = undeal(blobs, kinds)
             h = low.astype(_U) | high.astype(_U) << _U(32)
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            again = order[np.append(False, same) | np.append(same, False)] if len(order) else order
-            if len(again):
-                yield about(uid[again], [first[again]])
+            order = np.lexsort((first, uid, c, h))
+            h, c, uid, first, count = h[order], c[order], uid[order], first[order].astype(np.int64), count[order].astype(np.int64)
+            same = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))[: len(h)]
+            if same.any():
+                yield _tagged(REPEAT, about(uid[same], [first[same].astype("<u4"), (first + count + LENGTH - 1)[same].astype("<u4")]))
+            h, uid, first = h[~same], uid[~same], first[~same]
+            alike = h[1:] == h[:-1]
+            several = np.append(False, alike) | np.append(alike, False) if len(h) else np.empty(0, bool)
+            if several.any():
+                yield _tagged(COMPARE, about(uid[several], [first[several].astype("<u4")]))
+        yield from passed
 
-    dealt = numbered.select("uid", "text").mapInArrow(send, "fragment long, blob binary")
+    dealt = numbered.select("uid", "text").mapInArrow(send, "fragment long, blob binary, uid long")
     return dealt.repartition(parts, "fragment").mapInArrow(meet, ABOUT)
 
 
+def _ranges(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Ranges by document, those that touch joined."""
+    order = np.argsort(uid, kind="stable")
+    uid, start, end = uid[order], start[order], end[order]
+    at = np.flatnonzero(np.append(True, uid[1:] != uid[:-1])) if len(uid) else np.empty(0, np.int64)
+    out = []
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(uid)]):
+        x, y = spans_of(start[a:b], end[a:b])
+        out.append(blob([x.astype("<u4"), y.astype("<u4")]))
+    return uid[at].tolist(), out
+
+
 def _among(h: np.ndarray, prints: np.ndarray) -> np.ndarray:
     if not len(prints):
         return np.zeros(len(h), dtype=bool)
@@ -203,24 +256,29 @@ def _among(h: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return prints[np.minimum(np.searchsorted(prints, mine), len(prints) - 1)] == mine
 
 
+def _reach(text: bytes) -> int:
+    """Bytes of the document that an entry stands for."""
+    return LENGTH if len(text) == DIGEST else len(text)
+
+
 def _pack(pieces: list[tuple[int, int, int, bytes]]) -> bytes:
     h, uid, first, text = zip(*pieces)
     head = [np.array(h, "<u8"), np.array(uid, "<i8"), np.array(first, "<u4"), np.array([len(t) for t in text], "<u2")]
     return np.array([len(pieces)], "<u4").tobytes() + b"".join(c.tobytes() for c in head) + b"".join(text)
 
 
-def _unpack(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    n, at = int(np.frombuffer(blob, "<u4", 1)[0]), 4
+def _unpack(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    n, at = int(np.frombuffer(data, "<u4", 1)[0]), 4
     head = []
     for kind in ("<u8", "<i8", "<u4", "<u2"):
-        head.append(np.frombuffer(blob, kind, n, at).tolist())
+        head.append(np.frombuffer(data, kind, n, at).tolist())
         at += n * np.dtype(kind).itemsize
     for h, uid, first, size in zip(*head):
-        yield h, uid, first, blob[at : at + size]
+        yield h, uid, first, data[at : at + size]
         at += size
 
 
-def repeated_strings(numbered: DataFrame, marks: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def repeated_strings(numbered: DataFrame, told: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """For each document the ranges that repeat earlier strings (rows of deal.ABOUT: start, end)."""
     spark = numbered.sparkSession
     parts = partitions(spark)
@@ -239,8 +297,7 @@ def repeated_strings(numbered: DataFrame, marks: DataFrame, crowd: tuple[np.ndar
                 by.setdefault((h >> 40) * fragments >> 24, []).append((h, uid, first, text))
             uids, told = [], []
             if known:
-                uid, start, end = (np.array(c) for c in zip(*known))
-                uids, told = deal(uid, [start.astype("<u4"), end.astype("<u4")])
+                uids, told = _ranges(*(np.array(c, dtype=np.int64) for c in zip(*known)))
             return pa.RecordBatch.from_arrays(
                 [pa.array([*by, *(u % fragments for u in uids)], pa.int64()), pa.array([*map(_pack, by.values()), *told], pa.binary()), pa.array([None] * len(by) + uids, pa.int64())],
                 ["fragment", "blob", "uid"],
@@ -255,23 +312,24 @@ def repeated_strings(numbered: DataFrame, marks: DataFrame, crowd: tuple[np.ndar
             crowded = _among(pieces.hash, table.value)
             chosen = np.zeros(len(pieces.first), dtype=bool)
             for d, records in enumerate(part.column(3).to_pylist()):
-                if records:
-                    (at,) = undeal(records, ["<u4"])
+                (at,) = undeal([r[1:] for r in records or [] if r[:1] == COMPARE], ["<u4"])
+                if len(at):
                     low, high = np.searchsorted(pieces.doc, d), np.searchsorted(pieces.doc, d, "right")
                     chosen[low + np.searchsorted(pieces.first[low:high] - bounds[d], at)] = True
+                start, end = undeal([r[1:] for r in records or [] if r[:1] == REPEAT], ["<u4", "<u4"])
+                known += [(uid[d], x, y) for x, y in zip(*(c.tolist() for c in spans_of(start.astype(np.int64), end.astype(np.int64))))]
             first, count, doc, h = (c[chosen] for c in (pieces.first, pieces.count, pieces.doc, pieces.hash))
-            if crowded.any():  # each string of its own, dealt by its own hash
-                n = pieces.count[crowded]
-                one = np.repeat(pieces.first[crowded], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                first, count, doc = np.append(first, one), np.append(count, np.ones(len(one), np.int64)), np.append(doc, np.repeat(pieces.doc[crowded], n))
-                h = np.append(h, pieces.rolling.ranges(one, one + LENGTH))
-                order = np.lexsort((first, doc))
-                first, count, doc, h = first[order], count[order], doc[order], h[order]
             raw = data.tobytes()
-            places = (first - bounds[doc]).tolist()
-            for f, n, d, x, place in zip(first.tolist(), count.tolist(), doc.tolist(), h.tolist(), places):
-                text, me = raw[f : f + n + LENGTH - 1], uid[d]
-                before = seen.get(text)
+            texts = [raw[f : f + n + LENGTH - 1] for f, n in zip(first.tolist(), count.tolist())]
+            if crowded.any():  # each string by itself, as its digest, dealt by its own hash
+                n = pieces.count[crowded]
+                one = np.repeat(pieces.first[crowded], n) + spread(n)
+                digest = np.stack([pieces.rolling.ranges(one, one + LENGTH), Rolling(data, _OTHER).ranges(one, one + LENGTH)], axis=1)
+                both = digest.astype("<u8").tobytes()
+                texts += [both[k : k + DIGEST] for k in range(0, len(both), DIGEST)]
+                first, doc, h = np.append(first, one), np.append(doc, np.repeat(pieces.doc[crowded], n)), np.append(h, digest[:, 0])
+            for text, d, x, place in zip(texts, doc.tolist(), h.tolist(), (first - bounds[doc]).tolist()):
+                me, before = uid[d], seen.get(text)
                 if before is None:
                     seen[text] = (me, place, x)
                     size += len(text) + 40
@@ -279,7 +337,7 @@ def repeated_strings(numbered: DataFrame, marks: DataFrame, crowd: tuple[np.ndar
                     if (me, place) < before[:2]:
                         seen[text] = (me, place, x)
                         me, place = before[:2]
-                    known.append((me, place, place + len(text)))
+                    known.append((me, place, place + _reach(text)))
             if size > 16 * HELD or len(known) > HELD:
                 yield out()
                 seen, known, size = {}, [], 0
@@ -288,27 +346,18 @@ def repeated_strings(numbered: DataFrame, marks: DataFrame, crowd: tuple[np.ndar
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-
-        def rest() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                told = batch.column(2).is_valid()
-                some = batch.filter(told)
-                if some.num_rows:
-                    passed.append(pa.RecordBatch.from_arrays([some.column(2), some.column(1)], ["uid", "records"]))
-                yield batch.filter(pc.invert(told))
-
-        for _, blobs in by_fragment(rest()):
+        for _, blobs in by_fragment(_pass_on(batches, passed)):
             found: list[tuple[int, int, int]] = []
             pieces: dict[bytes, tuple[int, int, int]] = {}
-            for blob in blobs:
-                for h, uid, first, text in _unpack(blob):
+            for data in blobs:
+                for h, uid, first, text in _unpack(data):
                     before = pieces.get(text)
                     if before is None or (uid, first) < before[:2]:
                         pieces[text] = (uid, first, h)
                         if before is None:
                             continue
                         uid, first = before[:2]
-                    found.append((uid, first, first + len(text)))
+                    found.append((uid, first, first + _reach(text)))
             # Of anchors with one kind of piece nothing is left to compare.
             kinds: dict[int, int] = {}
             for _, _, h in pieces.values():
@@ -338,7 +387,7 @@ def repeated_strings(numbered: DataFrame, marks: DataFrame, crowd: tuple[np.ndar
                 yield about(uid, [a.astype("<u4"), b.astype("<u4")])
         yield from passed
 
-    dealt = with_records(numbered, marks).mapInArrow(send, schema)
+    dealt = with_records(numbered, told).mapInArrow(send, schema)
     return dealt.repartition(parts, "fragment").mapInArrow(meet, ABOUT)
 
 
@@ -354,7 +403,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield Pieces(*utf8(part.column(1))).hash
 
     crowd = frequent_prints(numbered.select("uid", "text"), hashes, CROWD)
-    records = repeated_strings(numbered, marked(numbered, crowd), crowd)
+    records = repeated_strings(numbered, compared(numbered, crowd), crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
