@@ -9,7 +9,8 @@
    pairs the classes that meet in a shingle, under the length and positional filters.
    Where many classes meet, they are paired with a few pivots only; the pairs that these
    leave open, between classes not yet in one component, follow in step 5.
-4. All shingles of paired classes are dealt to fragments again.  Each fragment counts
+4. All shingles of paired classes are dealt to fragments again: pairs to blocks by their
+   smaller class, and within a block the order is cut in CUTS.  Each fragment counts
    partial overlaps for its cut of each pair, and a sum for each pair gives the whole
    overlap, which decides.
 5. Pairs of classes that met among many, lie in different components, and pass the filters
@@ -30,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, fmix, identified, partitions, shingles, slices, spread, utf8
-from .deal import blob, by_fragment, deal, fragment_of, undeal
+from .deal import by_fragment, deal, fragment_of, undeal
 from .frequent import frequent_prints
 from .graph import components
 
@@ -48,6 +50,8 @@ LEAST = 32
 CROWD, PIVOTS, MORE_PIVOTS = 24, 2, (16, 128)
 #: Shingles a task holds before it deals them out, and those that one fragment should verify.
 HELD, FRAGMENT = 2 << 20, 2 << 20
+#: Cuts of the order in which the overlaps of one block of pairs are counted.
+CUTS = 16
 #: Classes to be verified are looked up by a broadcast of at most this many ids, beyond by a join.
 BROADCAST_ROWS = 1 << 20
 
@@ -206,27 +210,36 @@ def candidates(numbered: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
 def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b, na, nb) of classes those whose whole overlap links them; columns a, b."""
     spark = numbered.sparkSession
-    nodes = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
-    wanted = cut(nodes.join(classes.select("cid", F.col("rep").alias("uid")), "cid").select("uid", "n"))
-    count, total = wanted.agg(F.count("*"), F.sum("n")).first()
+    count, total = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct().agg(F.count("*"), F.sum("n")).first()
     if not count:
         return pairs.select("a", "b").limit(0)
-    wanted = wanted.select("uid")
-    chosen = numbered.select("uid", "text").join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "uid", "left_semi")
+    # Pairs of one smaller class share a block, so a pivot and its partners do; a set goes to the blocks of its pairs.
+    blocks = -(-total // (CUTS * FRAGMENT))
+    placed = pairs.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("long").alias("block"))
+    nodes = placed.select(F.col("a").alias("cid"), "block").union(placed.select("b", "block")).distinct()
+    wanted = cut(nodes.join(classes.select("cid", F.col("rep").alias("uid")), "cid").groupBy("uid").agg(F.collect_set("block").alias("blocks")))
+    chosen = numbered.select("uid", "text").join(F.broadcast(wanted) if count <= BROADCAST_ROWS and blocks == 1 else wanted, "uid")
     parts = partitions(spark)
-    fragments = max(16, -(-total // FRAGMENT))
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, doc, h, _, cid in _sets(batches):
-            batch = _dealt(fragment_of(h, fragments), [h.astype("<u8"), cid[doc].astype("<u8")])
+        for part in slices(batches):
+            words = Words(*utf8(part.column(1)), lower=True)
+            doc, h = shingles(words, SIZE)
+            _, cid = _signature(doc, h, words.docs)
+            flat, size = np.asarray(part.column(2).flatten()), np.asarray(pc.list_value_length(part.column(2))).astype(np.int64)
+            each = size[doc]
+            entry = np.repeat(np.arange(len(h)), each)
+            block = flat[np.repeat((np.cumsum(size) - size)[doc], each) + spread(each)]
+            batch = _dealt(block * CUTS + fragment_of(h, CUTS)[entry], [h[entry].astype("<u8"), cid[doc[entry]].astype("<u8")])
             yield batch.append_column("is_set", pa.array([True] * batch.num_rows))
 
     def cut_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b, na, nb = (np.asarray(batch.column(i)).astype("<i8") for i in range(4))
-                both = blob([a, b, (na + nb).astype("<u4")])
-                yield pa.RecordBatch.from_arrays([pa.array(range(fragments)), pa.array([both] * fragments, pa.binary()), pa.array([False] * fragments)], ["fragment", "blob", "is_set"])
+                a, b, na, nb, block = (np.asarray(batch.column(i)).astype("<i8") for i in range(5))
+                numbers, blobs = deal(block, [a, b, (na + nb).astype("<u4")])
+                fragment = [x * CUTS + k for x in numbers for k in range(CUTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(fragment, pa.int64()), pa.array([x for x in blobs for _ in range(CUTS)], pa.binary()), pa.array([False] * len(fragment))], ["fragment", "blob", "is_set"])
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, list[bytes]] = {}
@@ -274,8 +287,7 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(a[linked].view(np.int64)), pa.array(b[linked].view(np.int64))], ["a", "b"])
 
     schema = "fragment long, blob binary, is_set boolean"
-    sized = pairs.select("a", "b", "na", "nb")
-    cuts = chosen.mapInArrow(cut_sets, schema).unionByName(sized.mapInArrow(cut_pairs, schema))
+    cuts = chosen.mapInArrow(cut_sets, schema).unionByName(placed.mapInArrow(cut_pairs, schema))
     partial = cuts.repartition(parts, "fragment").mapInArrow(overlaps, "fragment long, blob binary")
     return partial.repartition(parts, "fragment").mapInArrow(whole, "a long, b long")
 

@@ -169,7 +169,9 @@ def test_join_odd(odd):
     assert components_of(df) == brute_components(texts)
 
 
-def test_join_documents(spark, sf):
+@pytest.mark.parametrize("fragment", [20, 2 << 20])
+def test_join_documents(spark, sf, monkeypatch, fragment):
+    monkeypatch.setattr(ngram_join, "FRAGMENT", fragment)
     df = documents(spark, sf)
     assert components_of(df) == brute_components(dict(rows(df, "doc_id", "text")))
 
