@@ -198,7 +198,7 @@ def kmeans_1d(values: list[float], k: int, rounds: int = 40, tolerance: float =
 
 def column_centres(words: DataFrame, by: str, x: str, k: int) -> DataFrame:
     """(by, centres): the k columns of each page."""
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({by: [key[0]], "centres": [kmeans_1d(frame[x].dropna().tolist(), k)]})
 
     kind = dict(words.dtypes)[by]
