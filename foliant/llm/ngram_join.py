@@ -51,7 +51,7 @@ CROWD, PIVOTS, MORE_PIVOTS = 24, 2, (16, 128)
 #: Shingles a task holds before it deals them out, and those that one fragment should verify.
 HELD, FRAGMENT = 2 << 20, 2 << 20
 #: Cuts of the order in which the overlaps of one block of pairs are counted.
-CUTS = 16
+CUTS = 32
 #: Classes to be verified are looked up by a broadcast of at most this many ids, beyond by a join.
 BROADCAST_ROWS = 1 << 20
 
@@ -218,7 +218,7 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     placed = pairs.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("long").alias("block"))
     nodes = placed.select(F.col("a").alias("cid"), "block").union(placed.select("b", "block")).distinct()
     wanted = cut(nodes.join(classes.select("cid", F.col("rep").alias("uid")), "cid").groupBy("uid").agg(F.collect_set("block").alias("blocks")))
-    chosen = numbered.select("uid", "text").join(F.broadcast(wanted) if count <= BROADCAST_ROWS and blocks == 1 else wanted, "uid")
+    chosen = numbered.select("uid", "text").join(F.broadcast(wanted) if count * blocks <= BROADCAST_ROWS else wanted, "uid")
     parts = partitions(spark)
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
