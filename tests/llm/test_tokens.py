@@ -13,7 +13,6 @@ import corpus_pipeline
 from foliant.llm import packing, token_store, tokens
 from foliant.llm.common import documents
 
-from .conftest import words
 
 VOCABULARY = tokens.public_vocabulary()
 
