@@ -18,7 +18,7 @@ from .common import cut, partitions
 from .deal import by_fragment, deal, undeal
 
 #: Entries of the table, and hashes that a task holds before it sends them.
-MOST, HELD = 1 << 20, 4 << 20
+MOST, HELD = 1 << 20, 1 << 20
 
 _U = np.uint64
 

@@ -49,7 +49,7 @@ LEAST = 32
 #: MORE_PIVOTS, and at last all that are still apart.
 CROWD, PIVOTS, MORE_PIVOTS = 24, 2, (16, 128)
 #: Shingles a task holds before it deals them out, and those that one fragment should verify.
-HELD, FRAGMENT = 2 << 20, 2 << 20
+HELD, FRAGMENT = 1 << 19, 2 << 20
 #: Cuts of the order in which the overlaps of one block of pairs are counted.
 CUTS = 32
 #: Classes to be verified are looked up by a broadcast of at most this many ids, beyond by a join.
@@ -263,7 +263,7 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
             a, b, total, i, j = a[here], b[here], total[here], i[here], j[here]
             small = size[i] > size[j]
             i, j = np.where(small, j, i), np.where(small, i, j)
-            step = max(1, (4 << 20) // max(1, int(size.max())))
+            step = max(1, (1 << 20) // max(1, int(size.max())))
             for at in range(0, len(a), step):
                 x, y = i[at : at + step], j[at : at + step]
                 n = size[x]

@@ -14,7 +14,7 @@ import re
 from array import array
 
 #: Pieces remembered per worker, and the longest piece that is remembered.
-MOST_PIECES, LONGEST_PIECE = 350_000, 40
+MOST_PIECES, LONGEST_PIECE = 250_000, 40
 
 _LOOSE = re.compile(r"[ \n](?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
