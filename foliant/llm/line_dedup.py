@@ -10,8 +10,11 @@ a copy of a document, not a page with boilerplate, and is for document-level ded
 Joins on line hashes are salted by document, so a line that is in every document is
 spread over SALT tasks for each partition of hashes.
 
+The registered query and the pipeline set no longest line; dedup_lines by itself and the
+SQL have the bound MAX_CHARS.
+
 Defined cases: a null text stays null and has no lines; blank lines and lines longer
-than MAX_CHARS are never boilerplate; a null site is no site; repeated rows count as
+than max_chars, if that is set, are never boilerplate; a null site is no site; repeated rows count as
 rows of their own and are treated alike; other columns pass through unchanged, also
 where their names are those used here; an empty table gives an empty result.
 """
@@ -35,11 +38,12 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def _counts(line: Column, most: int) -> Column:
-    return F.length(F.trim(line)).between(1, most)
+def _counts(line: Column, most: int | None) -> Column:
+    n = F.length(F.trim(line))
+    return n >= 1 if most is None else n.between(1, most)
 
 
-def _lines(numbered: DataFrame, most: int) -> DataFrame:
+def _lines(numbered: DataFrame, most: int | None) -> DataFrame:
     """row, site, key of every line that can be boilerplate."""
     each = numbered.select("row", "site", F.explode(F.split("text", "\n", -1)).alias("line"))
     return each.filter(_counts(F.col("line"), most)).select("row", "site", _key(F.col("line")).alias("key"))
@@ -62,7 +66,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return cut(sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("key")))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS, max_share: float = MAX_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, max_share: float = MAX_SHARE) -> DataFrame:
     """`docs` with boilerplate lines taken out of text, and _n_lines, _n_removed beside its own columns."""
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -85,7 +89,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     )
 
 
-#: The result of line_report for documents, by exact counts.
+#: The result of line_report for documents, by exact counts; it leaves lines over MAX_CHARS in, line_report does not.
 SQL = f"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents
@@ -104,5 +108,5 @@ FROM d JOIN documents USING (doc_id)
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the cleaned text."""
-    out = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"))
+    out = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), max_chars=None)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")

@@ -251,6 +251,15 @@ def test_near_threshold_is_exact(spark):
     assert all(got[i] == 1 for i in range(8)) and all(got[100 + i] == 0 for i in range(7))
 
 
+def test_lines_of_any_length(spark):
+    """A repeated line of over 300 characters is boilerplate too."""
+    long = "a notice that stands on every site " * 15
+    data = [(i, f"{long}\n" + f"own text {i} " * 60, f"s{i}") for i in range(8)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.line_report(df).collect()}
+    assert got == {i: (1, f"own text {i} " * 60) for i in range(8)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_spans(n):
     from foliant.llm.deal import spans_of
