@@ -3,19 +3,19 @@
 Only DataFrame functions are used.  For each line hash a HyperLogLog sketch of its
 sites is built map-side and merged by aggregation.  Lines whose estimate lies within
 the sketch's error of the threshold get exact distinct counts; the others are decided
-by the estimate.  A boilerplate line goes from every document, except that a document
-of which it would take more than MAX_SHARE of the characters is left as it is: that is
-a copy of a document, not a page with boilerplate, and is for document-level dedup.
+by the estimate.  A boilerplate line goes from every document, whatever share of the
+text it is; copies of documents are for document-level dedup.
 
 Joins on line hashes are salted by document, so a line that is in every document is
 spread over SALT tasks for each partition of hashes.
 
-The registered query and the pipeline set no longest line; dedup_lines by itself and the
-SQL have the bound MAX_CHARS.
+The registered query and the pipeline set no bounds.  By default dedup_lines, and always
+the SQL, leave lines over MAX_CHARS, and documents that would lose more than MAX_SHARE of
+their characters.
 
 Defined cases: a null text stays null and has no lines; blank lines and lines longer
 than max_chars, if that is set, are never boilerplate; a null site is no site; repeated rows count as
-rows of their own and are treated alike; other columns pass through unchanged, also
+rows of their own and are treated alike; a text of boilerplate only becomes empty; other columns pass through unchanged, also
 where their names are those used here; an empty table gives an empty result.
 """
 
@@ -66,7 +66,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return cut(sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("key")))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, max_share: float = MAX_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, max_share: float | None = MAX_SHARE) -> DataFrame:
     """`docs` with boilerplate lines taken out of text, and _n_lines, _n_removed beside its own columns."""
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -80,7 +80,9 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     cleaned = F.array_join(kept, "\n")
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     joined = joined.select(*at.values(), "text", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).alias("n"), F.when(F.col("bad").isNotNull(), F.struct(cleaned.alias("text"), F.size(kept).alias("n"))).alias("new"))
-    take = F.col("new").isNotNull() & (F.length("new.text") >= (1 - max_share) * F.length("text"))
+    take = F.col("new").isNotNull()
+    if max_share is not None:
+        take = take & (F.length("new.text") >= (1 - max_share) * F.length("text"))
     final = F.when(take, F.col("new.text")).otherwise(F.col("text"))
     return joined.select(
         *[final.alias(c) if c == "text" else F.col(k).alias(c) for c, k in at.items()],
@@ -89,7 +91,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     )
 
 
-#: The result of line_report for documents, by exact counts; it leaves lines over MAX_CHARS in, line_report does not.
+#: The result of line_report for documents, by exact counts; MAX_CHARS and MAX_SHARE hold here only, not in line_report.
 SQL = f"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents
@@ -108,5 +110,5 @@ FROM d JOIN documents USING (doc_id)
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the cleaned text."""
-    out = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), max_chars=None)
+    out = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), max_chars=None, max_share=None)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")

@@ -260,6 +260,16 @@ def test_lines_of_any_length(spark):
     assert got == {i: (1, f"own text {i} " * 60) for i in range(8)}
 
 
+def test_lines_of_any_share(spark):
+    """A boilerplate line goes also where it is most of a text or all of it."""
+    data = [(i, "a footer on every site\n" + f"own text {i} " * 40, f"s{i}") for i in range(8)]
+    data += [(20, "a footer on every site\nshort", "s1"), (21, "a footer on every site", "s2"), (22, "a footer on every site\na footer on every site\n", "s3")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.line_report(df).collect()}
+    assert got[0] == (2, 1, "own text 0 " * 40)
+    assert got[20] == (2, 1, "short") and got[21] == (1, 1, "") and got[22] == (3, 2, "")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_spans(n):
     from foliant.llm.deal import spans_of
