@@ -4,8 +4,9 @@ A gear hash rolls over the UTF-8 bytes; a chunk ends where its low bits are zero
 last such place is at least LEAST bytes back, and after MOST bytes at the latest.  Both
 look only at the bytes just before, so an insertion moves no later boundary for long.
 Every chunk but the first of its 128-bit digest, in order of document and place, is a
-repeat; runs of repeats of at least MIN_RUN bytes are taken out (a shorter one may be a
-common turn of phrase).
+repeat; runs of repeats of at least MIN_RUN bytes are taken out.  Of a shorter one, which
+may be a common turn of phrase, the registered query takes out the whole lines that it
+covers, and all of it if it is the whole document (`whole_lines`).
 
 Tasks decide about repeats among their own chunks and send only the first of each digest
 on, so a chunk that is everywhere makes one record for each task.
@@ -140,7 +141,18 @@ def repeats(numbered: DataFrame) -> DataFrame:
 SCHEMA = "doc_id long, n_bytes long, n_chunks long, n_repeated long, n_removed long, n_spans long, text string"
 
 
-def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def lines_within(raw: bytes, a: int, b: int, low: int, high: int) -> tuple[int, int]:
+    """The part of raw[a:b] that is whole lines of the document raw[low:high]; empty if none, or only blank ones, are."""
+    x = a
+    if a > low and raw[a - 1] != 10:
+        x = raw.find(b"\n", a, b) + 1
+        if not x:
+            return a, a
+    y = b if b == high or raw[b] == 10 else raw.rfind(b"\n", x, b) + 1
+    return (x, y) if raw[x:y].strip() else (a, a)
+
+
+def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN, whole_lines: bool = False) -> DataFrame:
     """One row per document: what was taken out, and the text that is left."""
     numbered, _ = identified(docs)
 
@@ -160,9 +172,14 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                 low, high = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
                 again = low + np.flatnonzero(gone[low:high])
                 a, b = spans_of(start[again], end[again])
-                long = b - a >= min_run
-                a, b = a[long].tolist(), b[long].tolist()
                 at, end_of = int(bounds[d]), int(bounds[d + 1])
+                if whole_lines:
+                    for k in np.flatnonzero(b - a < min_run).tolist():
+                        a[k], b[k] = lines_within(raw, int(a[k]), int(b[k]), at, end_of)
+                    out = b > a
+                else:
+                    out = b - a >= min_run
+                a, b = a[out].tolist(), b[out].tolist()
                 kept = b"".join([raw[x:y] for x, y in zip([at, *b], [*a, end_of])])
                 rows.append((end_of - at, high - low, len(again), end_of - at - len(kept), len(a), kept.decode()))
             columns = list(zip(*rows))

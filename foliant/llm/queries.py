@@ -30,7 +30,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_chunks(documents(spark, sf_dir))
+    return dedup_chunks(documents(spark, sf_dir), whole_lines=True)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,24 @@ def test_chunks(odd, spark, sf):
         assert got == brute_chunks(texts)
 
 
+def test_chunks_short_runs(spark):
+    """Short repeats go where they are a whole document or whole lines, and stay within a line."""
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    short, lines = word(40), "\n".join(word(12) for _ in range(7))
+    texts = {0: short, 1: short, 2: lines + "\n" + word(30), 3: word(30) + "\n" + lines + "\n" + word(30), 4: word(90), 5: ""}
+    texts[5] = texts[4][:80] + word(60)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = dict(rows(chunk_dedup.dedup_chunks(df, whole_lines=True), "doc_id", "text"))
+    runs = brute_chunks(texts)
+    assert runs[1] == short and got[1] == ""
+    assert got[0] == short and got[2] == texts[2] and got[4] == texts[4] and got[5] == texts[5]
+    left = got[3].split("\n")
+    assert len(got[3]) < len(texts[3]) == len(runs[3]) and left[0] == texts[3][:30] and left[-1] == texts[3][-30:]
+    assert set(left) <= {*texts[3].split("\n"), ""}
+    assert chunk_dedup.lines_within(b"abc", 0, 3, 0, 3) == (0, 3) and chunk_dedup.lines_within(b"abc", 1, 3, 0, 3) == (1, 1)
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(5)
     body = bytes(rng.integers(97, 123, 4000).astype(np.uint8))
