@@ -184,7 +184,7 @@ def compared(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataF
     parts = partitions(spark)
     fragments = 4 * parts
     table = spark.sparkContext.broadcast(crowd[0])
-    kinds = ["<u4", "u1", "<u4", "<i8", "<u4", "u1"]
+    kinds = ["<u4", "u1", "<u8", "<i8", "<u4", "u1"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -207,7 +207,8 @@ def compared(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataF
             rare = ~_among(pieces.hash, table.value)
             if rare.any():
                 doc, first, count = pieces.doc[rare], pieces.first[rare], pieces.count[rare]
-                whole = (pieces.rolling.ranges(first, first + count + LENGTH - 1) >> _U(32)).astype("<u4")
+                # All 64 bits: pieces of one anchor share its hash, so only this tells them apart.
+                whole = pieces.rolling.ranges(first, first + count + LENGTH - 1)
                 held.append((pieces.hash[rare], whole, np.asarray(part.column(0))[doc], first - bounds[doc], count))
                 total += len(first)
             if total >= HELD:

@@ -65,6 +65,32 @@ def test_substrings_repeated_and_empty(repeated, empty):
     assert suffix_dedup.dedup_substrings(empty).collect() == []
 
 
+def test_substrings_weak_hash(spark, monkeypatch):
+    """Pieces of one anchor whose hashes agree in 32 bits only are not equal."""
+
+    class Halves:
+        def __init__(self, rolling):
+            self.rolling = rolling
+
+        def ranges(self, start, end):
+            return self.rolling.ranges(start, end) & np.uint64(0xFFFFFFFF)
+
+    def weak(data, bounds, whole=suffix_dedup.Pieces):
+        pieces = whole(data, bounds)
+        if len(data) >= suffix_dedup.LENGTH:
+            pieces.rolling = Halves(pieces.rolling)
+        return pieces
+
+    monkeypatch.setattr(suffix_dedup, "Pieces", weak)
+    rng = np.random.default_rng(4)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    shared = word(90)
+    texts = {i: word(120) + shared + word(120) for i in range(6)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r[0]: r[1:] for r in rows(suffix_dedup.dedup_substrings(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+    assert got == brute_substrings(texts)
+
+
 def test_blind_trie():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, 12).astype(np.uint8)) for _ in range(400)]
