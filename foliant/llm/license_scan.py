@@ -9,7 +9,10 @@ to be about the template, at most SPREAD times as many distinct words as the tem
 sides (positional filter).  What remains is verified by the intersection itself.
 
 Blocks are the lines of a text for templates of one line, and overlapping windows of
-words for longer ones, so that wrapped texts are found too.
+words for longer ones, so that wrapped texts are found too.  Lines beyond SPREAD and
+notices that lines cut are found by windows as well: all windows of twice a one-line
+template's words that hold a word of its prefix are tried (a window that holds `need` of
+its words holds one of those), first the words around the place, then each window.
 
 Defined cases: a null or empty text has no words, counts 0, null places, empty labels
 and score 0; rows that repeat are judged alone; an empty table gives an empty result;
@@ -148,6 +151,32 @@ def scan_licenses(docs: DataFrame, theta: float = THETA) -> DataFrame:
     spans = F.transform(starts, lambda i: block(F.slice(F.col("words"), i + 1, ordered.window), False))
     least = min(need for *_, need in ordered.rows)
     worth = lambda b: (F.size(b["held"]) >= least) & F.arrays_overlap(b["held"], prefix)
+
+    # The one-line templates in windows anywhere: label and score of each that a window around a prefix word holds.
+    anchors: dict[int, list[str]] = {}
+    for w, i, _ in ordered.index:
+        anchors.setdefault(i, []).append(w)
+    places_of = F.when(F.col("marked"), F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(prefix, w), i)), lambda i: i.isNotNull())).otherwise(none)
+
+    def near(template: int, label: str, held: list[str], size: int, need: int) -> Column:
+        """The most words of a template that one window of its size around a prefix word has, as struct(label, score)."""
+        width = 2 * len(TEMPLATES[template][1].split())
+        own, starters = _array(held), _array(anchors[template])
+
+        def around(p: Column, back: int) -> Column:
+            low = F.greatest(p - (width - 1), F.lit(0))
+            return F.size(F.array_intersect(F.slice(F.col("words"), low + 1, p + back - low), own))
+
+        worthy = F.filter("spots", lambda p: F.array_contains(starters, F.get("words", p)) & (around(p, width) >= need))
+        best = F.transform(
+            worthy,
+            lambda p: F.array_max(F.transform(F.sequence(F.greatest(p - (width - 1), F.lit(0)), p), lambda i: F.size(F.array_intersect(F.slice(F.col("words"), i + 1, width), own)))),
+        )
+        most = F.array_max(best)
+        return F.when(most >= need, F.struct(F.lit(label).alias("label"), (most / F.lit(size)).alias("score")))
+
+    table = table.withColumn("spots", places_of)
+    windows = F.array_compact(F.array(*[near(i, label, held, size, need) for i, label, line, held, size, need in ordered.rows if line]))
     blocks = F.when(F.col("marked") & (F.size("words") > 0), F.filter(F.concat(lines, spans), worth))
     table = table.select(
         "doc_id",
@@ -157,6 +186,7 @@ def scan_licenses(docs: DataFrame, theta: float = THETA) -> DataFrame:
         F.array_max(F.concat(*places)).cast("long").alias("last_word"),
         F.filter(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, (_, label) in zip(places, PHRASES)]), lambda x: x.isNotNull()).alias("base"),
         blocks.alias("blocks"),
+        F.when(F.size("spots") > 0, windows).alias("windows"),
     )
     table = cut(table.withColumn("row", F.monotonically_increasing_id()))
 
@@ -181,6 +211,7 @@ def scan_licenses(docs: DataFrame, theta: float = THETA) -> DataFrame:
     )
     found = pairs.groupBy("row").agg(F.collect_set("label").alias("added"), F.max(F.col("common") / F.col("size")).alias("score"))
     joined = table.join(found, "row", "left")
+    more = lambda key: F.coalesce(F.transform("windows", lambda x: x[key]), F.array())
     return joined.select(
         "doc_id",
         "n_words",
@@ -188,6 +219,6 @@ def scan_licenses(docs: DataFrame, theta: float = THETA) -> DataFrame:
         "first_word",
         "last_word",
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.coalesce("added", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.array_union(F.array_union("base", F.coalesce("added", F.array().cast("array<string>"))), more("label").cast("array<string>"))), ",").alias("labels"),
+        F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce(F.array_max(more("score").cast("array<double>")), F.lit(0.0))).alias("score"),
     )

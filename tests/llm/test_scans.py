@@ -145,6 +145,24 @@ def test_license(spark, sf, odd, empty):
     assert license_scan.scan_licenses(empty).collect() == []
 
 
+def test_license_windows(spark):
+    """A notice is found in a line of many words, and where a line break cuts it."""
+    filler = " ".join(f"w{i}" for i in range(60))
+    texts = {
+        0: f"{filler} released under the mit license {filler}",
+        1: "this work is licensed under\nthe gnu general public license version 3",
+        2: f"{filler} licensed under cc by nc 4 0 {filler}",
+        3: f"released {filler} under {filler} the {filler} mit {filler} license",
+        4: f"released {filler}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(license_scan.scan_licenses(df), "labels", "score")
+    assert "mit" in got[0][0].split(",") and got[0][1] == 1.0
+    assert "gpl-3.0" in got[1][0].split(",") and got[1][1] == 1.0
+    assert "cc-by-nc-4.0" in got[2][0].split(",") and got[2][1] == 1.0
+    assert got[3] == ("", 0.0) and got[4] == ("", 0.0)
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
