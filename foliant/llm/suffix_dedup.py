@@ -13,8 +13,8 @@ corpus splits into fragments by anchor that can be sorted apart:
    Strings around a very frequent anchor are sent one by one as 128-bit digests and dealt by
    those instead, so that an anchor that is in every document doesn't make one task's work.
 3. In a fragment the strings that begin at each place of these pieces are sorted
-   deep-shallow: a multikey quicksort on words of eight bytes down to SHALLOW bytes, then a
-   blind trie for each group that is still equal.  Neighbours whose common prefix is the
+   deep-shallow: by words of eight bytes down to SHALLOW bytes (np.lexsort in place of a
+   multikey quicksort), then a blind trie for each group that is still equal.  Neighbours whose common prefix is the
    whole LENGTH are equal strings, and all but the earliest are repeats.
 
 Defined cases: null and empty texts, and those under LENGTH bytes, lose nothing; repeated
