@@ -7,71 +7,71 @@ cost per byte is a few NumPy passes and no Python loop runs per word.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy pass handles at a time (a longer document is one slice).
 SLICE_BYTES = 1 << 18
 
 _U = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_LENGTH = 0x9E3779B97F4A7C15
 _SHINGLE = 0xD1342543DE82EF95
+#: Ranges up to this many bytes are hashed together in blocks of eight, longer ones one by one.
+_TOGETHER = 64
 
 
 def fmix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
+    return x
 
 
 BYTE_VALUE = fmix(np.arange(1, 257, dtype=_U) * _U(0xA24BAED4963EE407))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_VALUE = BYTE_VALUE[LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)], dtype=_U)
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(n, base, dtype=_U)
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
-        out.append(p)
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(size)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number (zeros beyond the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
-class Rolling:
-    """Hashes of any byte ranges of a buffer, from one running sum."""
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for arrays of bounds; equal bytes give equal hashes.
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUE):
-        n = len(data)
-        up, self.down = powers(n + 1)
-        self.sums = np.empty(n + 1, dtype=_U)
-        self.sums[0] = 0
-        np.cumsum(values[data] * up[:n], out=self.sums[1:])
-
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of data[start:end] for arrays of bounds; equal bytes give equal hashes."""
-        return fmix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(_U))
+    Blocks of eight bytes are mixed one after another by a bijection, so ranges of up to
+    eight bytes and one length never share a hash, and no pattern of longer ones does by rule.
+    """
+    size = (end - start).astype(np.int64)
+    out = fmix(size.astype(_U) * _U(_LENGTH))
+    which = np.flatnonzero((size > 0) & (size <= _TOGETHER))
+    at, left, h, from_place = start[which], size[which], out[which], eights(data)
+    while len(which):
+        block = from_place[at]
+        short = np.flatnonzero(left < 8)
+        block[short] &= _LOW_BYTES[left[short]]
+        h = fmix(h ^ block)
+        more = left > 8
+        out[which[~more]] = h[~more]
+        which, at, left, h = which[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > _TOGETHER).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +110,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
         n = len(data)
+        data = LOWER[data] if lower else data
         self.data, self.bounds, self.docs = data, bounds, len(bounds) - 1
         inside = ~SPACE[data]
         first = np.zeros(n + 1, dtype=bool)
@@ -129,7 +130,7 @@ class Words:
         #: words before each document, and the document of each word
         self.before = np.searchsorted(self.start, bounds)
         self.doc = np.repeat(np.arange(self.docs), np.diff(self.before))
-        self.hash = Rolling(data, LOWER_VALUE if lower else BYTE_VALUE).ranges(self.start, self.end)
+        self.hash = range_hashes(data, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:
@@ -182,10 +183,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local session may leave it unset; it gets a folder of its own, as in tests.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file:///tmp/foliant-checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/foliant-checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -197,19 +203,71 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text for which a shuffle gets one partition at least.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """Partitions of a shuffle that carries about as much as `size` bytes of text do: as set, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
+def text_bytes(numbered: DataFrame) -> int:
+    """Bytes of all texts, counted."""
+    return numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+#: Rows of one key that one task may get in a join, and keys that are broadcast.
+KEY_ROWS, BROADCAST_KEYS = 1 << 17, 1 << 20
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table` (distinct keys; n: about how many rows have the key), whatever the skew.
+
+    Keys with more than KEY_ROWS rows, or more than a BROADCAST_KEYS-th of all, are so few
+    that they fit a broadcast; the others are joined by a shuffle.
+    """
+    total, top = table.agg(F.sum("n"), F.max("n")).first()
+    most = max(KEY_ROWS, (total or 0) // BROADCAST_KEYS)
+    if (top or 0) <= most:
+        return rows.join(table.drop("n"), key, how)
+    hot = table.filter(F.col("n") > most).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") <= most).drop("n"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def by_position(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The columns renamed c0, c1, ..., and their own names, which may hold dots or clash."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns
+
+
+def place_of(names: list[str], wanted: str) -> int:
+    """The place of a column: by its very name, else whatever the case."""
+    if wanted in names:
+        return names.index(wanted)
+    low = [n.lower() for n in names]
+    if wanted.lower() not in low:
+        raise ValueError(f"no column {wanted} among {names}")
+    return low.index(wanted.lower())
+
+
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (long), text (string) and the columns `more`; others are dropped, whatever their names."""
+    plain, names = by_position(docs)
+    kinds = {"doc_id": "long", "text": "string"}
+    return plain.select(*[(F.col(f"c{place_of(names, n)}").cast(kinds[n]) if n in kinds else F.col(f"c{place_of(names, n)}")).alias(n) for n in ("doc_id", "text", *more)])
 
 
-def identified(docs: DataFrame, *keep: Column) -> tuple[DataFrame, bool]:
-    """Columns uid, doc_id, text (and `keep`), with a uid that is unique and never null;
-    and whether uid is doc_id itself.
+def identified(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, bool]:
+    """Columns uid, doc_id, text (with `whole` also c0, c1, ... for all columns by place), with a
+    uid that is unique and never null; and whether uid is doc_id itself.
 
     It is where those are unique and present.  Otherwise (repeated rows, null ids) uid
     numbers the rows in order of doc_id, nulls last, then text; only doc_id is read to
     find out.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    plain, names = by_position(docs)
+    base = plain.select(F.col(f"c{place_of(names, 'doc_id')}").cast("long").alias("doc_id"), F.col(f"c{place_of(names, 'text')}").cast("string").alias("text"), *(plain.columns if whole else []))
     rest = base.columns[2:]
     odd = base.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
     if not odd:

@@ -2,7 +2,8 @@
 
 Tasks hold the records of a few megabytes of text, keep what they can decide themselves
 (of equal keys only the first record can matter elsewhere), and send each fragment of the
-key space one row with its records, column after column.
+key space one row with its records, column after column.  Spark sorts the rows of a partition
+by fragment, so a task of the next stage holds the records of one fragment at a time.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,51 @@ def undeal(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(out, kinds)]
 
 
-def by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs (column 1) of each fragment (column 0) of one partition."""
-    held: dict[int, list[bytes]] = {}
+#: Bytes of text whose records one fragment gets.
+FRAGMENT_BYTES = 16 << 20
+
+#: Rows dealt to fragments; with a uid the blob is about that document and only passes through.
+DEALT = "fragment long, blob binary, uid long"
+
+
+def fragments_of(parts: int, size: int) -> int:
+    """Fragments for the records of `size` bytes of text in `parts` partitions."""
+    return max(4 * parts, -(-size // FRAGMENT_BYTES))
+
+
+def gathered(dealt: DataFrame, parts: int) -> DataFrame:
+    """Rows of one fragment side by side in one partition, sorted by Spark, which can spill."""
+    return dealt.repartition(parts, "fragment").sortWithinPartitions("fragment")
+
+
+def dealt_rows(fragment: list[int], blobs: list[bytes], uids: list[int] = [], told: list[bytes] = [], fragments: int = 1) -> pa.RecordBatch:  # noqa: B006
+    """Rows of the kind DEALT: blobs for fragments, and what is known already about documents."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(fragment + [u % fragments for u in uids], pa.int64()), pa.array(blobs + told, pa.binary()), pa.array([None] * len(fragment) + uids, pa.int64())], ["fragment", "blob", "uid"]
+    )
+
+
+def by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]] | tuple[None, pa.RecordBatch]]:
+    """Each fragment of gathered rows with its blobs, one fragment in memory at a time.
+
+    Rows about documents come as (None, batch of the kind ABOUT) as soon as they are read.
+    """
+    at, held = None, []
     for batch in batches:
+        if batch.num_columns > 2:
+            told = batch.column(2).is_valid()
+            some = batch.filter(told)
+            if some.num_rows:
+                yield None, pa.RecordBatch.from_arrays([some.column(2), some.column(1)], ["uid", "records"])
+                batch = batch.filter(pc.invert(told))
         for fragment, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            held.setdefault(fragment, []).append(data.as_py())
-    while held:
-        yield held.popitem()
+            if fragment != at:
+                if held:
+                    yield at, held
+                at, held = fragment, []
+            held.append(data.as_py())
+    if held:
+        yield at, held
 
 
 def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
@@ -63,10 +102,10 @@ def about(uid: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(blobs, pa.binary())], ["uid", "records"])
 
 
-def with_records(numbered: DataFrame, records: DataFrame) -> DataFrame:
-    """uid, doc_id, text and the list of all records about each document (null: none)."""
+def with_records(numbered: DataFrame, records: DataFrame, how: str = "left") -> DataFrame:
+    """uid, doc_id, text and the list of all records about each document (null: none; with "inner" only those that have any)."""
     each = records.groupBy("uid").agg(F.collect_list("records").alias("records"))
-    return numbered.select("uid", "doc_id", "text").join(each, "uid", "left")
+    return numbered.select("uid", "doc_id", "text").join(each, "uid", how)
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,10 @@
 """The most frequent of many hashes, counted over all rows, as a bounded table.
 
-Tasks send the upper 32 bits of each hash, sorted, as steps of 16 bits to fragments of
-the hash space; a fragment counts its own.  Only counts from `least` on are reported, by
-level (log2 of the count), and the lowest levels are left out until the table fits.
+Tasks send the upper 32 bits of each kind of hash, sorted, as steps of 16 bits with counts
+to fragments of the hash space; a fragment adds up its own.  Only counts from `least` on are reported, by
+level (log2 of the count).  The table has at most MOST entries: from the highest level down
+as many levels as fit.  Of N hashes fewer than N / c can occur over c times, so what is left
+out occurs less than 2 N / MOST times, or less than `least`.
 """
 
 from __future__ import annotations
@@ -15,35 +17,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions
-from .deal import by_fragment, deal, undeal
+from .deal import by_fragment, deal, fragments_of, gathered, undeal
 
-#: Entries of the table, and hashes that a task holds before it sends them.
-MOST, HELD = 1 << 20, 1 << 20
+#: Entries of the table, hashes that a task holds before it sends them, and the most that one entry counts.
+MOST, HELD, MOST_IN_ENTRY = 1 << 20, 1 << 20, 255
 
 _U = np.uint64
 
 
-def frequent_prints(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def frequent_prints(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int, size: int = 0, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """Upper halves of hashes that occur at least `least` times (or as often as fits), sorted, and their levels.
 
-    A print may stand for several hashes, so it says that a hash may be frequent.
+    A print may stand for several hashes, so it says that a hash may be frequent.  `size` is
+    the bytes of text behind the rows.
     """
-    parts = partitions(rows.sparkSession)
-    fragments = 4 * parts
+    parts = partitions(rows.sparkSession, size)
+    fragments = fragments_of(parts, size)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def out() -> pa.RecordBatch:
-            prints = np.sort(np.concatenate(held))
+            kinds, n = np.unique(np.concatenate(held), return_counts=True)
+            entries = (n - 1) // MOST_IN_ENTRY + 1  # a print that the task has seen very often takes several
+            prints, count = np.repeat(kinds, entries), np.full(int(entries.sum()), MOST_IN_ENTRY)
+            count[np.cumsum(entries) - 1] = n - MOST_IN_ENTRY * (entries - 1)
             fragment = (prints.astype(_U) * _U(fragments)) >> _U(32)
             base = ((fragment << _U(32)) + _U(fragments - 1)) // _U(fragments)  # the least print of the fragment
             base[1:] = np.where(fragment[1:] == fragment[:-1], prints[:-1].astype(_U), base[1:])
             way = prints.astype(np.int64) - base.astype(np.int64)
             more = way // 65535  # a step of 65535 goes on to the next
-            steps = np.full(len(prints) + int(more.sum()), 65535, dtype="<u2")
-            steps[np.cumsum(more + 1) - 1] = (way - 65535 * more).astype(np.uint16)
-            numbers, blobs = deal(np.repeat(fragment.astype(np.int64), more + 1), [steps])
+            steps, counts = np.full(len(prints) + int(more.sum()), 65535, dtype="<u2"), np.zeros(len(prints) + int(more.sum()), dtype="u1")
+            at = np.cumsum(more + 1) - 1
+            steps[at], counts[at] = (way - 65535 * more).astype(np.uint16), count.astype(np.uint8)
+            numbers, blobs = deal(np.repeat(fragment.astype(np.int64), more + 1), [steps, counts])
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["fragment", "blob"])
 
         for h in hashes(batches):
@@ -58,13 +65,17 @@ def frequent_prints(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]]
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fragment, blobs in by_fragment(batches):
             base = -(-(fragment << 32) // fragments)
-            found = []
+            found, times = [], []
             for data in blobs:
-                (steps,) = undeal([data], ["<u2"])
-                found.append((np.cumsum(steps.astype(np.int64)) + base)[steps != 65535])
-            prints = np.sort(np.concatenate(found))
+                steps, counts = undeal([data], ["<u2", "u1"])
+                own = steps != 65535
+                found.append((np.cumsum(steps.astype(np.int64)) + base)[own])
+                times.append(counts[own])
+            prints, times = np.concatenate(found), np.concatenate(times).astype(np.int64)
+            order = np.argsort(prints, kind="stable")
+            prints, times = prints[order], times[order]
             at = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
-            n = np.diff(np.append(at, len(prints)))
+            n = np.add.reduceat(times, at)
             at, n = at[n >= least], n[n >= least]
             level = np.log2(n).astype(np.int64)
             for x in np.unique(level).tolist():
@@ -72,7 +83,7 @@ def frequent_prints(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]]
                 yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([len(chosen)]), pa.array([chosen.tobytes()], pa.binary())], ["level", "n", "prints"])
 
     sent = rows.mapInArrow(send, "fragment long, blob binary")
-    table = cut(sent.repartition(parts, "fragment").mapInArrow(count, "level long, n long, prints binary"))
+    table = cut(gathered(sent, parts).mapInArrow(count, "level long, n long, prints binary"))
     sizes = {r["level"]: r["n"] for r in table.groupBy("level").agg(F.sum("n").alias("n")).collect()}
     first, total = max(sizes, default=0) + 1, 0
     for level in sorted(sizes, reverse=True):

@@ -8,17 +8,20 @@
    which any partner must share one, is dealt to fragments of the hash space.  Each fragment
    pairs the classes that meet in a shingle, under the length and positional filters.
    Where many classes meet, they are paired with a few pivots only; the pairs that these
-   leave open, between classes not yet in one component, follow in step 5.
+   leave open, between classes not yet in one component, follow in step 5.  A very frequent
+   shingle is dealt in blocks of classes, and the blocks' pivots are paired.
 4. All shingles of paired classes are dealt to fragments again: pairs to blocks by their
-   smaller class, and within a block the order is cut in CUTS.  Each fragment counts
-   partial overlaps for its cut of each pair, and a sum for each pair gives the whole
-   overlap, which decides.
+   first class (in several, if it has very many), and within a block the order is cut in
+   CUTS.  Each fragment counts partial overlaps for its cut of each pair, and a sum for each
+   pair gives the whole overlap, which decides.
 5. Pairs of classes that met among many, lie in different components, and pass the filters
-   are verified in the same way, so that no link between components is missed.
+   are verified in the same way, so that no link between components is missed.  The classes
+   outside the largest component of such a group meet the others block by block.
 
 A document's set: distinct windows of five words (A-Z lower-cased, ASCII white space);
-with fewer words, the whole sequence as one.  Shingles are compared by 64-bit hashes, and
-classes by 64 bits of the sum of two such hashes of each member and the size.
+with fewer words, the whole sequence as one.  Shingles are compared by 64-bit hashes.  Classes
+have 64-bit names; where two different sets (told apart by 64 further bits) have one name,
+both get another, so classes are the same in 128 bits or not at all.
 
 Defined cases: null, empty and white-space texts have an empty set and link with nothing;
 repeated rows link with each other; where ids repeat or are null, rows with one id share a
@@ -35,57 +38,81 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, fmix, identified, partitions, shingles, slices, spread, utf8
-from .deal import by_fragment, deal, fragment_of, undeal
+from .common import Words, cut, fmix, identified, join_counted, partitions, shingles, slices, spread, text_bytes, utf8
+from .deal import by_fragment, deal, fragment_of, fragments_of, gathered, undeal
 from .frequent import frequent_prints
 from .graph import components
 
 #: Words in a shingle; links at 100 * intersection >= PERCENT * union.
 SIZE, PERCENT = 5, 75
-#: Frequencies under LEAST count as rare.
-LEAST = 32
-#: Classes that meet in a shingle are all paired up to CROWD; beyond, with the PIVOTS of least identity (the same
+#: Frequencies under LEAST count as rare; shingles in 2**SPLIT documents are dealt in blocks of about as many classes.
+LEAST, SPLIT = 32, 12
+#: Classes that meet in a shingle are all paired up to CROWD; beyond, with the PIVOTS of least name (the same
 #: ones wherever the group meets) and their neighbours at first, then, for those outside the main component, with
-#: MORE_PIVOTS, and at last all that are still apart.
-CROWD, PIVOTS, MORE_PIVOTS = 24, 2, (16, 128)
+#: about MORE_PIVOTS, and at last all that are still apart, in blocks of BLOCK classes.
+CROWD, PIVOTS, MORE_PIVOTS, BLOCK = 24, 2, (16, 128), 1024
 #: Shingles a task holds before it deals them out, and those that one fragment should verify.
-HELD, FRAGMENT = 1 << 19, 2 << 20
-#: Cuts of the order in which the overlaps of one block of pairs are counted.
-CUTS = 32
-#: Classes to be verified are looked up by a broadcast of at most this many ids, beyond by a join.
-BROADCAST_ROWS = 1 << 20
+HELD, FRAGMENT = 1 << 18, 1 << 19
+#: Cuts of the order in which the overlaps of one block of pairs are counted, and pairs of one class in a block.
+CUTS, PAIRS = 16, 1 << 14
+#: Classes to be verified are looked up by a broadcast of at most this many bytes, beyond by a join.
+BROADCAST_BYTES = 32 << 20
+#: Names of classes that a task remembers.
+SEEN = 1 << 18
 
 _U = np.uint64
 
 
-def _signature(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and identity of each document's set, whatever its order."""
+def _signature(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, name and check of each document's set, whatever its order."""
     n = np.bincount(doc, minlength=docs).astype(np.int64)
     ends = np.cumsum(n)
     out = []
     for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(fmix(h ^ _U(salt)))])
-        out.append(sums[ends] - sums[ends - n])
-    return n, fmix(out[0] ^ fmix(out[1] + n.astype(_U)))
+        out.append(fmix((sums[ends] - sums[ends - n]) ^ fmix(n.astype(_U) + _U(salt))))
+    return n, out[0], out[1]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(uid, document, shingle, size, identity) of slice after slice."""
+def _sets(batches: Iterator[pa.RecordBatch], clashes: np.ndarray, signature=_signature) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(uid, document, shingle, size, name) of slice after slice."""
     for part in slices(batches):
         words = Words(*utf8(part.column(1)), lower=True)
         doc, h = shingles(words, SIZE)
-        n, cid = _signature(doc, h, words.docs)
+        n, cid, check = signature(doc, h, words.docs)
+        if len(clashes):
+            cid = np.where(np.isin(cid, clashes), cid ^ check, cid)
         yield np.asarray(part.column(0)), doc, h, n, cid
 
 
 def signatures(numbered: DataFrame) -> DataFrame:
-    """uid, n, cid of every document."""
+    """uid, n, cid, check of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, _, _, n, cid in _sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(n), pa.array(cid.view(np.int64))], ["uid", "n", "cid"])
+        for part in slices(batches):
+            words = Words(*utf8(part.column(1)), lower=True)
+            n, cid, check = _signature(*shingles(words, SIZE), words.docs)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(cid.view(np.int64)), pa.array(check.view(np.int64))], ["uid", "n", "cid", "check"])
+
+    return numbered.select("uid", "text").mapInArrow(run, "uid long, n long, cid long, check long")
+
+
+def classified(numbered: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """uid, n, cid of every document; cid, rep (least uid), n (copies) of every class that has a
+    shingle; and the names that two different sets would have had."""
+    signed = cut(signatures(numbered))
+
+    def classes() -> DataFrame:
+        grouped = signed.filter("n > 0").groupBy("cid")
+        return cut(grouped.agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")))
 
-    return numbered.select("uid", "text").mapInArrow(run, "uid long, n long, cid long")
+    found = classes()
+    # Names of 64 bits clash once in six thousand million classes, so there are a few at most.
+    clashes = [r["cid"] for r in found.filter("low <> high").select("cid").collect()]
+    if clashes:
+        signed = signed.withColumn("cid", F.when(F.col("cid").isin(clashes), F.col("cid").bitwiseXOR(F.col("check"))).otherwise(F.col("cid")))
+        found = classes()
+    return signed.select("uid", "n", "cid"), found.select("cid", "rep", "n"), np.array(clashes, dtype=np.int64).view(_U)
 
 
 def _dealt(fragment: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -93,14 +120,23 @@ def _dealt(fragment: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["fragment", "blob"])
 
 
-def frequent_shingles(numbered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(numbered: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Prints of the most frequent shingles and their levels, counted over all documents."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, _, h, _, _ in _sets(batches):
+        for _, _, h, _, _ in _sets(batches, np.empty(0, _U), _signature):
             yield h
 
-    return frequent_prints(numbered.select("uid", "text"), hashes, LEAST)
+    return frequent_prints(numbered.select("uid", "text"), hashes, LEAST, size)
+
+
+def _levels(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    prints, levels = frequent
+    if not len(prints):
+        return np.zeros(len(h), dtype=np.int64)
+    mine = (h >> _U(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(prints, mine), len(prints) - 1)
+    return np.where(prints[at] == mine, levels[at], 0).astype(np.int64)
 
 
 def _prefix(n: np.ndarray) -> np.ndarray:
@@ -113,15 +149,10 @@ def _need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-ENTRY = ["<u4", "u1", "<u8", "<u4", "<u2"]  # low and high part of the shingle, class, size, place
-
-
-def _pairs_of(n: np.ndarray, place: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which index pairs pass the length and positional filters."""
-    a, b = pairs
-    need = _need(n[a], n[b])
-    left = 1 + np.minimum(n[a] - place[a] - 1, n[b] - place[b] - 1)
-    return (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])) & (left >= need)
+def _fits(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """Which pairs of sizes and places of a common shingle pass the length and positional filters."""
+    left = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
+    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (left >= _need(na, nb))
 
 
 def _all_pairs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,106 +163,173 @@ def _all_pairs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, a + 1 + spread(each)
 
 
-def candidates(numbered: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (run, a, b, na, nb): pairs of classes (run null), and members a of crowded runs (b null, nb its place)."""
+def _in_order(cid: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, na, nb of distinct pairs, the class of lesser name first (so a pivot comes first)."""
+    swap = cid[a] > cid[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((cid[b], cid[a]))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), dtype=bool)
+    keep[1:] = (cid[a][1:] != cid[a][:-1]) | (cid[b][1:] != cid[b][:-1])
+    a, b = a[keep], b[keep]
+    return cid[a].view(np.int64), cid[b].view(np.int64), n[a], n[b]
+
+
+#: Low and high part of the shingle, name, size, place; of very frequent shingles the whole hash.
+ENTRY, SPLIT_ENTRY = ["<u4", "u1", "<u8", "<u4", "<u2"], ["<u8", "<u8", "<u4", "<u2"]
+FOUND = ["run", "a", "b", "na", "nb", "top"]
+
+
+def candidates(numbered: DataFrame, frequent: tuple[np.ndarray, np.ndarray], clashes: np.ndarray, size: int) -> DataFrame:
+    """Rows FOUND: pairs of classes (run null), and members a of crowded runs (b null, nb its place,
+    top for the pivots of blocks of a very frequent shingle)."""
     spark = numbered.sparkSession
-    parts = partitions(spark)
-    fragments = 4 * parts
+    parts = partitions(spark, size)
+    fragments = fragments_of(parts, size)
     table = spark.sparkContext.broadcast(frequent)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, levels = table.value
+    def group_of(h: np.ndarray, cid: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """The shingle, or for a very frequent one the shingle and block of classes, as a hash."""
+        blocks = _U(1) << np.maximum(level - SPLIT + 1, 0).astype(_U)
+        return np.where(level >= SPLIT, fmix(h ^ fmix(cid & (blocks - _U(1)))), h)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, total = [], 0
 
-        def out() -> pa.RecordBatch:
-            h, cid, n, place = (np.concatenate(c) for c in zip(*held))
-            return _dealt(fragment_of(h, fragments), [h.astype("<u4"), ((h >> _U(32)) & _U(255)).astype("u1"), cid.astype("<u8"), n.astype("<u4"), np.minimum(place, 65535).astype("<u2")])
-
-        for _, doc, h, n, cid in _sets(batches):
+        def out() -> Iterator[pa.RecordBatch]:
+            h, cid, n, place, level = (np.concatenate(c) for c in zip(*held))
+            n, place = n.astype("<u4"), np.minimum(place, 65535).astype("<u2")
+            hot = level >= SPLIT
+            own = ~hot
+            yield _dealt(fragment_of(h[own], fragments), [h[own].astype("<u4"), ((h[own] >> _U(32)) & _U(255)).astype("u1"), cid[own], n[own], place[own]])
+            if hot.any():
+                yield _dealt(fragments + fragment_of(group_of(h[hot], cid[hot], level[hot]), fragments), [h[hot], cid[hot], n[hot], place[hot]])
+
+        for _, doc, h, n, cid in _sets(batches, clashes, _signature):
+            if len(seen) > SEEN:
+                seen.clear()
             new = np.array([c not in seen and not seen.add(c) for c in cid.tolist()], dtype=bool)
-            level = np.zeros(len(h), dtype=np.int64)
-            if len(prints):
-                mine = (h >> _U(32)).astype(np.uint32)
-                at = np.minimum(np.searchsorted(prints, mine), len(prints) - 1)
-                level = np.where(prints[at] == mine, levels[at], 0).astype(np.int64)
+            level = _levels(h, table.value)
             order = np.argsort(doc * 64 + level, kind="stable")
-            doc, h = doc[order], h[order]
+            doc, h, level = doc[order], h[order], level[order]
             place = spread(n)
             chosen = (place < _prefix(n)[doc]) & new[doc]
-            held.append((h[chosen], cid[doc[chosen]], n[doc[chosen]], place[chosen]))
+            held.append((h[chosen], cid[doc[chosen]], n[doc[chosen]], place[chosen], level[chosen]))
             total += int(chosen.sum())
             if total >= HELD:
-                yield out()
+                yield from out()
                 held, total = [], 0
         if held:
-            yield out()
+            yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fragment, blobs in by_fragment(batches):
-            low, high, cid, n, place = undeal(blobs, ENTRY)
-            h = low.astype(np.uint64) | high.astype(np.uint64) << _U(32)
-            order = np.lexsort((cid, h))
-            h, cid, n, place = h[order], cid[order], n[order].astype(np.int64), place[order].astype(np.int64)
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
-            h, cid, n, place = h[new], cid[new], n[new], place[new]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            size = np.diff(np.append(at, len(h)))
-            some = (size > 1) & (size <= CROWD)
+            if fragment < fragments:
+                low, high, cid, n, place = undeal(blobs, ENTRY)
+                h = low.astype(_U) | high.astype(_U) << _U(32)
+                group, key = h, h | _U(fragment) << _U(40)
+            else:
+                h, cid, n, place = undeal(blobs, SPLIT_ENTRY)
+                group, key = group_of(h, cid, _levels(h, table.value)), fmix(h)
+            order = np.lexsort((cid, group))
+            group, key, cid, n, place = group[order], key[order], cid[order], n[order].astype(np.int64), place[order].astype(np.int64)
+            new = np.ones(len(group), dtype=bool)
+            new[1:] = (group[1:] != group[:-1]) | (cid[1:] != cid[:-1])
+            group, key, cid, n, place = group[new], key[new], cid[new], n[new], place[new]
+            at = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+            size = np.diff(np.append(at, len(group)))
+            crowded = (size > CROWD) | (fragment >= fragments)
+            some = (size > 1) & ~crowded
             a, b = _all_pairs(at[some], size[some])
-            crowded = size > CROWD
             if crowded.any():
                 first, count = at[crowded], size[crowded]
-                member = np.repeat(first, count) + spread(count)
+                member, inner = np.repeat(first, count) + spread(count), spread(count)
                 for k in range(PIVOTS):
-                    pivot = np.repeat(first + k, count)
+                    pivot = np.repeat(first + np.minimum(k, count - 1), count)
                     a, b = np.append(a, pivot), np.append(b, member)
-                follows = spread(count) > 0
-                a, b = np.append(a, member[follows] - 1), np.append(b, member[follows])
-                crowd = np.repeat(first, count)
-                key = (h[crowd] | _U(fragment) << _U(40)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid[member].view(np.int64)), pa.nulls(len(member), pa.int64()), pa.array(n[member]), pa.array(place[member])], ["run", "a", "b", "na", "nb"])
-            good = _pairs_of(n, place, (a, b)) & (a != b)
-            a, b = a[good], b[good]
-            x, y = cid[a].view(np.int64), cid[b].view(np.int64)
-            swap = x > y
-            x, y, p, q = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, n[b], n[a]), np.where(swap, n[a], n[b])
-            order = np.lexsort((y, x))
-            keep = np.ones(len(x), dtype=bool)
-            keep[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
-            order = order[keep]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(order), pa.int64()), pa.array(x[order]), pa.array(y[order]), pa.array(p[order]), pa.array(q[order])], ["run", "a", "b", "na", "nb"])
-
-    dealt = numbered.select("uid", "text").mapInArrow(deal, "fragment long, blob binary")
-    return dealt.repartition(parts, "fragment").mapInArrow(meet, "run long, a long, b long, na long, nb long")
+                a, b = np.append(a, member[inner > 0] - 1), np.append(b, member[inner > 0])
+                top = (inner < PIVOTS) if fragment >= fragments else np.zeros(len(member), dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[member].view(np.int64), cid[member].view(np.int64))] + [pa.nulls(len(member), pa.int64())] + [pa.array(x) for x in (n[member], place[member], top)], FOUND)
+            good = _fits(n[a], place[a], n[b], place[b]) & (a != b)
+            pairs = _in_order(cid, n, a[good], b[good])
+            if len(pairs[0]):
+                nothing = len(pairs[0])
+                yield pa.RecordBatch.from_arrays([pa.nulls(nothing, pa.int64()), *(pa.array(x) for x in pairs), pa.nulls(nothing, pa.bool_())], FOUND)
+
+    dealt = numbered.select("uid", "text").mapInArrow(send, "fragment long, blob binary")
+    return gathered(dealt, parts).mapInArrow(meet, "run long, a long, b long, na long, nb long, top boolean")
+
+
+def _unsigned(c: str) -> Column:
+    """A long that sorts as the name's 64 bits do without a sign."""
+    return F.col(c).bitwiseXOR(F.lit(-(2**63)))
+
+
+def pivots_of_blocks(members: DataFrame) -> DataFrame:
+    """a, b, na, nb: the pivots of the blocks of each very frequent shingle with the least of them."""
+    tops = members.filter("top").select("run", _unsigned("a").alias("u"), "a", "na", "nb")
+    lead = tops.groupBy("run").agg(F.min(F.struct("u", "a", "na", "nb")).alias("least"))
+    both = tops.withColumnsRenamed({"a": "b", "na": "n", "nb": "place"}).join(lead, "run").filter(F.col("b") != F.col("least.a"))
+    a, n, at = F.col("least.a"), F.col("least.na"), F.col("least.nb")
+    left = 1 + F.least(n - at - 1, F.col("n") - F.col("place") - 1)
+    fits = (100 * F.least(n, F.col("n")) >= PERCENT * F.greatest(n, F.col("n"))) & (left * (100 + PERCENT) >= PERCENT * (n + F.col("n")))
+    return both.filter(fits).select(a.alias("a"), "b", n.alias("na"), F.col("n").alias("nb"))
 
 
 def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b, na, nb) of classes those whose whole overlap links them; columns a, b."""
+    """Of distinct pairs (a, b, na, nb) of classes those whose whole overlap links them, as uids a, b of their first documents."""
     spark = numbered.sparkSession
-    count, total = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct().agg(F.count("*"), F.sum("n")).first()
+    # From names to first documents.  A pivot may have very many pairs; another class comes second to few.
+    degree = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    reps = classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")).join(degree, "a").withColumn("parts", F.ceil(F.col("n") / PAIRS))
+    named = join_counted(pairs, reps, "a").join(classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
+    named = cut(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "parts"))
+    count, total = named.select(F.col("a").alias("uid"), F.col("na").alias("n")).union(named.select("b", "nb")).distinct().agg(F.count("*"), F.sum("n")).first()
     if not count:
-        return pairs.select("a", "b").limit(0)
-    # Pairs of one smaller class share a block, so a pivot and its partners do; a set goes to the blocks of its pairs.
+        return named.select("a", "b").limit(0)
+    # Pairs of one first class share a block, or as many as it needs; a set goes to the blocks of its pairs.
     blocks = -(-total // (CUTS * FRAGMENT))
-    placed = pairs.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("long").alias("block"))
-    nodes = placed.select(F.col("a").alias("cid"), "block").union(placed.select("b", "block")).distinct()
-    wanted = cut(nodes.join(classes.select("cid", F.col("rep").alias("uid")), "cid").groupBy("uid").agg(F.collect_set("block").alias("blocks")))
-    chosen = numbered.select("uid", "text").join(F.broadcast(wanted) if count * blocks <= BROADCAST_ROWS else wanted, "uid")
-    parts = partitions(spark)
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), "parts")).otherwise(0)
+    block = F.pmod(F.pmod(F.xxhash64("a"), F.lit(1 << 40)) + part, F.lit(blocks)).cast("long")
+    placed = named.select("a", "b", "na", "nb", block.alias("block"))
+    nodes = placed.select(F.col("a").alias("uid"), "block").union(placed.select("b", "block")).distinct()
+    wanted = cut(nodes.groupBy("uid").agg(F.collect_set("block").alias("blocks")))
+    places = wanted.agg(F.sum(F.size("blocks"))).first()[0]
+    small = 64 * count + 8 * places <= BROADCAST_BYTES
+    chosen = numbered.select("uid", "text").join(F.broadcast(wanted) if small else wanted, "uid")
+    parts = max(partitions(spark), -(-places * total // (count * 2 * FRAGMENT)))
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def out() -> pa.RecordBatch:
+            fragment, uid, h = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((uid, fragment))
+            fragment, uid, h = fragment[order], uid[order], h[order].astype("<u8")
+            # A fragment gets each document's id once, with the number of its shingles.
+            first = np.flatnonzero(np.append(True, (fragment[1:] != fragment[:-1]) | (uid[1:] != uid[:-1])))
+            size = np.diff(np.append(first, len(h))).astype("<u4")
+            at = np.flatnonzero(np.append(True, fragment[first][1:] != fragment[first][:-1]))
+            ends, blobs = np.append(at[1:], len(first)), []
+            for a, e in zip(at.tolist(), ends.tolist()):
+                low, high = int(first[a]), int(first[e]) if e < len(first) else len(h)
+                blobs.append(np.array([e - a], "<u4").tobytes() + uid[first[a:e]].astype("<i8").tobytes() + size[a:e].tobytes() + h[low:high].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(fragment[first[at]], pa.int64()), pa.array(blobs, pa.binary()), pa.array([True] * len(blobs))], ["fragment", "blob", "is_set"])
+
         for part in slices(batches):
-            words = Words(*utf8(part.column(1)), lower=True)
-            doc, h = shingles(words, SIZE)
-            _, cid = _signature(doc, h, words.docs)
+            doc, h = shingles(Words(*utf8(part.column(1)), lower=True), SIZE)
             flat, size = np.asarray(part.column(2).flatten()), np.asarray(pc.list_value_length(part.column(2))).astype(np.int64)
             each = size[doc]
             entry = np.repeat(np.arange(len(h)), each)
             block = flat[np.repeat((np.cumsum(size) - size)[doc], each) + spread(each)]
-            batch = _dealt(block * CUTS + fragment_of(h, CUTS)[entry], [h[entry].astype("<u8"), cid[doc[entry]].astype("<u8")])
-            yield batch.append_column("is_set", pa.array([True] * batch.num_rows))
+            held.append((block * CUTS + fragment_of(h, CUTS)[entry], np.asarray(part.column(0))[doc[entry]], h[entry]))
+            total += len(entry)
+            if total >= HELD:
+                yield out()
+                held, total = [], 0
+        if total:
+            yield out()
 
     def cut_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,22 +339,37 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
                 fragment = [x * CUTS + k for x in numbers for k in range(CUTS)]
                 yield pa.RecordBatch.from_arrays([pa.array(fragment, pa.int64()), pa.array([x for x in blobs for _ in range(CUTS)], pa.binary()), pa.array([False] * len(fragment))], ["fragment", "blob", "is_set"])
 
-    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, list[bytes]] = {}
-        asked: dict[int, list[bytes]] = {}
+    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes]]]:
+        """(sets, pairs) of each fragment, one at a time."""
+        at, sets, asked = None, [], []
         for batch in batches:
             for fragment, data, is_set in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                (sets if is_set else asked).setdefault(fragment, []).append(data.as_py())
-        for fragment in list(asked):
-            h, cid = undeal(sets.pop(fragment, []), ["<u8", "<u8"])
-            a, b, total = undeal(asked.pop(fragment), ["<u8", "<u8", "<u4"])
-            order = np.lexsort((h, cid))
-            h, cid = h[order], cid[order]
-            ids, begin, size = np.unique(cid, return_index=True, return_counts=True)
-            if not len(ids):
-                continue
+                if fragment != at:
+                    if sets and asked:
+                        yield sets, asked
+                    at, sets, asked = fragment, [], []
+                (sets if is_set else asked).append(data.as_py())
+        if sets and asked:
+            yield sets, asked
+
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets, asked in fragments(batches):
+            uids, sizes, hashes = [], [], []
+            for data in sets:
+                n = int(np.frombuffer(data, "<u4", 1)[0])
+                uids.append(np.frombuffer(data, "<i8", n, 4))
+                sizes.append(np.frombuffer(data, "<u4", n, 4 + 8 * n))
+                hashes.append(np.frombuffer(data, "<u8", -1, 4 + 12 * n))
+            ids, size, h = np.concatenate(uids), np.concatenate(sizes).astype(np.int64), np.concatenate(hashes)
+            order = np.argsort(ids, kind="stable")
+            begin = np.cumsum(size) - size
+            h = h[np.repeat(begin[order], size[order]) + spread(size[order])]
+            ids, size = ids[order], size[order]
+            begin = np.cumsum(size) - size
+            a, b, total = undeal(asked, ["<i8", "<i8", "<u4"])
             kinds, which = np.unique(h, return_inverse=True)
-            key = np.repeat(np.arange(len(ids)), size) * len(kinds) + which
+            # Shingles of a document in order, documents in order: one sorted list of (document, shingle).
+            key = np.sort(np.repeat(np.arange(len(ids)), size) * len(kinds) + which)
             i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
             here = (i < len(ids)) & (j < len(ids))
             here[here] = (ids[i[here]] == a[here]) & (ids[j[here]] == b[here])
@@ -268,105 +381,141 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
                 x, y = i[at : at + step], j[at : at + step]
                 n = size[x]
                 member = np.repeat(begin[x], n) + spread(n)
-                probe = np.repeat(y, n) * len(kinds) + which[member]
+                probe = np.repeat((y - x) * len(kinds), n) + key[member]
                 spot = np.minimum(np.searchsorted(key, probe), len(key) - 1)
                 sums = np.concatenate([[0], np.cumsum(key[spot] == probe)])
                 ends = np.cumsum(n)
                 partial = sums[ends] - sums[ends - n]
                 some = np.flatnonzero(partial > 0) + at
-                yield _dealt(fragment_of(fmix(a[some] ^ fmix(b[some])), 4 * parts), [a[some], b[some], total[some], partial[partial > 0].astype("<u4")])
+                pair = fmix(a[some].view(_U) ^ fmix(b[some].view(_U)))
+                yield _dealt(fragment_of(pair, 4 * parts), [a[some], b[some], total[some], partial[partial > 0].astype("<u4")])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_fragment(batches):
-            a, b, total, partial = undeal(blobs, ["<u8", "<u8", "<u4", "<u4"])
+            a, b, total, partial = undeal(blobs, ["<i8", "<i8", "<u4", "<u4"])
             order = np.lexsort((b, a))
             a, b, total, partial = a[order], b[order], total[order].astype(np.int64), partial[order].astype(np.int64)
             first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             common = np.add.reduceat(partial, first)
             linked = first[100 * common >= PERCENT * (total[first] - common)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[linked].view(np.int64)), pa.array(b[linked].view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], ["a", "b"])
 
     schema = "fragment long, blob binary, is_set boolean"
     cuts = chosen.mapInArrow(cut_sets, schema).unionByName(placed.mapInArrow(cut_pairs, schema))
-    partial = cuts.repartition(parts, "fragment").mapInArrow(overlaps, "fragment long, blob binary")
-    return partial.repartition(parts, "fragment").mapInArrow(whole, "a long, b long")
+    partial = gathered(cuts, parts).mapInArrow(overlaps, "fragment long, blob binary")
+    return gathered(partial, parts).mapInArrow(whole, "a long, b long")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, first: int | None) -> DataFrame:
-    """Pairs of classes that met in a crowd, pass the filters, and are in different components.
+def open_pairs(members: DataFrame, labels: DataFrame, first: int | None) -> DataFrame | None:
+    """Pairs of classes that met in a crowd, pass the filters, and are in different components
+    (labels: a, label of all classes); none if each crowd lies in one component.
 
-    With `first`, only those of a class outside its crowd's main component with the crowd's
-    `first` classes of least identity; else all.
+    With `first`, only those of a class outside its crowd's main component with about `first`
+    classes of least name; else all.  The classes outside are dealt in blocks, and the others
+    to each of these in blocks, so no task holds a crowd.
     """
-    parts = partitions(members.sparkSession)
-    known = members.join(labels, "a", "left").select("run", "a", "na", "nb", F.coalesce("label", "a").alias("label"))
-    # Crowds of one component only need no more work.
-    mixed = known.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("run")
-    known = known.join(mixed, "run", "left_semi")
+    spark = members.sparkSession
+    known = cut(members.select("run", "a", "na", "nb").join(labels, "a"))
+    sizes = known.groupBy("run", "label").agg(F.count("*").alias("n"))
+    runs = sizes.groupBy("run").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    runs = cut(runs.filter("kinds > 1").select("run", "main", "total", F.ceil(F.col("inside") / BLOCK).cast("long").alias("km"), F.ceil((F.col("total") - F.col("inside")) / BLOCK).cast("long").alias("ko")))
+    n_runs = runs.count()
+    if not n_runs:
+        return None
+    rows = known.join(F.broadcast(runs) if 64 * n_runs <= BROADCAST_BYTES else runs, "run")
+    rows = rows.withColumn("outside", F.col("label") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("a"), F.when(F.col("outside"), F.col("ko")).otherwise(F.col("km"))))
+    every = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    one, last = F.lit(0).cast("long"), F.col("ko") - 1
+    if first is None:
+        # Blocks outside meet each other (i <= j < ko), themselves, and the blocks inside (ko + block).
+        outside = F.concat(
+            F.transform(every(F.col("own"), F.col("ko") + F.col("km") - 1), lambda j: place(F.col("own"), j, True)),
+            F.transform(every(one, F.col("own") - 1), lambda i: place(i, F.col("own"), False)),
+        )
+        to = F.when(F.col("outside"), outside).otherwise(F.transform(every(one, last), lambda i: place(i, F.col("ko") + F.col("own"), False)))
+    else:
+        pivot = _unsigned("a") < F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), first / F.col("total"))
+        nowhere = F.array().cast("array<struct<i:long,j:long,left:boolean>>")
+        to = F.concat(
+            F.when(F.col("outside"), F.array(place(F.col("own"), F.lit(-1).cast("long"), True))).otherwise(nowhere),
+            F.when(pivot, F.transform(every(one, last), lambda i: place(i, F.lit(-1).cast("long"), False))).otherwise(nowhere),
+        )
+    rows = rows.select("run", F.explode(to).alias("to"), "a", "na", "nb", "label").select("run", "to.i", "to.j", "to.left", "a", "na", "nb", "label")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.asarray(batch.column(k)) if k != 3 else np.asarray(batch.column(k).to_pylist(), dtype=bool) for k in range(8)]
+            if held:
+                columns = [np.concatenate([x, y]) for x, y in zip(held[0], columns)]
+            key = columns[:3]
+            new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
+            at = np.flatnonzero(new).tolist()
+            for x, y in zip(at, at[1:]):
+                yield [c[x:y] for c in columns]
+            held = [[c[at[-1] :] for c in columns]]
+        if held:
+            yield held[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.concatenate([np.asarray(c) for c in column]) for column in zip(*([b.column(i) for i in range(5)] for b in batches if b.num_rows))]
-        if not rows:
-            return
-        order = np.lexsort((rows[4], rows[0]))
-        key, cid, n, place, label = (c[order] for c in rows)
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        for begin, end in zip(at, np.append(at[1:], len(key))):
-            # Members lie by component; each meets those of later components.
-            own = label[begin:end]
-            later = begin + np.searchsorted(own, own, "right")
-            names, sizes = np.unique(own, return_counts=True)
-            outside = begin + np.flatnonzero(own != names[np.argmax(sizes)])
-            few = begin + np.argsort(cid[begin:end].view(np.uint64), kind="stable")[:first]
-            for low in range(begin, end, 1024):
-                if first is None:
-                    high = min(end, low + 1024)
-                    begins = later[low - begin : high - begin]
-                    count = end - begins
-                    a = np.repeat(np.arange(low, high), count)
-                    b = np.repeat(begins, count) + spread(count)
-                else:
-                    some = outside[low - begin : low - begin + 1024]
-                    a, b = np.repeat(some, len(few)), np.tile(few, len(some))
-                good = _pairs_of(n, place, (a, b)) & (label[a] != label[b])
-                a, b = a[good], b[good]
-                swap = cid[a] > cid[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"])
-
-    dealt = known.select("run", "a", "na", "nb", "label").repartition(parts, "run")
+        for _, i, j, left, a, n, place_, label in groups(batches):
+            cid, mine = a.view(_U), np.flatnonzero(left)
+            other = mine if i[0] == j[0] else np.flatnonzero(~left)
+            step = max(1, (1 << 20) // max(1, len(other)))
+            for low in range(0, len(mine), step):
+                some = mine[low : low + step]
+                x, y = np.repeat(some, len(other)), np.tile(other, len(some))
+                good = label[x] != label[y]
+                x, y = x[good], y[good]
+                good = _fits(n[x], place_[x], n[y], place_[y])
+                pairs = _in_order(cid, n, x[good], y[good])
+                if len(pairs[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b", "na", "nb"])
+
+    dealt = rows.repartition(partitions(spark), "run", "i", "j").sortWithinPartitions("run", "i", "j")
     return dealt.mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
-def join_components(docs: DataFrame, *keep: Column) -> tuple[DataFrame, DataFrame, bool]:
-    """(numbered documents with `keep`; uid, n_shingles, component by uid; whether uid is doc_id)."""
-    numbered, plain = identified(docs, *keep)
-    signed = cut(signatures(numbered))
-    classes = cut(signed.filter("n > 0").groupBy("cid").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")))
-    found = cut(candidates(numbered, frequent_shingles(numbered)))
-    pairs = cut(found.filter("run is null").select("a", "b", "na", "nb").distinct())
+def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """cid, rep, n, label of every class: the smallest first document that links lead to."""
+    found = components(links).withColumnRenamed("node", "rep")
+    return cut(classes.join(found, "rep", "left").select("cid", "rep", "n", F.coalesce("label", "rep").alias("label")))
+
+
+def _first_pairs(numbered: DataFrame, clashes: np.ndarray, size: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b, na, nb to be verified first, and members of crowds."""
+    found = cut(candidates(numbered, frequent_shingles(numbered, size), clashes, size))
+    pairs, members = found.filter("run is null").select("a", "b", "na", "nb"), found.filter("run is not null")
+    if members.filter("top").limit(1).count():
+        pairs = pairs.unionByName(pivots_of_blocks(members))
+    return cut(pairs.distinct()), members
+
+
+def join_components(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """(numbered documents, with `whole` all their columns; uid, n_shingles, component by uid; whether uid is doc_id)."""
+    numbered, plain = identified(docs, whole)
+    size = text_bytes(numbered)
+    signed, classes, clashes = classified(numbered)
+    pairs, members = _first_pairs(numbered, clashes, size)
     links = cut(verified(numbered, classes, pairs))
-    members = found.filter("run is not null").select("run", "a", "na", "nb")
+    labels = _labels(classes, links)
     if members.limit(1).count():
         known = pairs.select("a", "b")
         for first in (*MORE_PIVOTS, None):
-            labels = components(links).withColumnRenamed("node", "a")
-            more = cut(open_pairs(members, labels, first).join(known, ["a", "b"], "left_anti"))
+            more = open_pairs(members, labels.select(F.col("cid").alias("a"), "label"), first)
+            if more is None:
+                break
+            more = cut(more.join(known, ["a", "b"], "left_anti"))
             if more.limit(1).count():
                 links = cut(links.unionByName(verified(numbered, classes, more)))
                 known = known.unionByName(more.select("a", "b"))
-    # From classes to their smallest documents.
-    named = classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra"))
-    other = classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb"))
-    linked = links.join(named, "a").join(other, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    labels = components(linked).select(F.col("node").alias("rep"), "label")
-    special = classes.join(labels, "rep", "left").filter("copies > 1 or label is not null").select("cid", F.coalesce("label", "rep").alias("label"))
-    # A class may hold a third of all rows: the join back is salted.
-    salted = cut(special).select("cid", "label", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    rows = signed.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(16)).cast("int"))
-    result = rows.join(salted, ["cid", "salt"], "left")
-    return numbered, result.select("uid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "uid")).otherwise(F.col("uid")).alias("component")), plain
+                labels = _labels(classes, links)
+    special = labels.filter("n > 1 or label <> rep").select("cid", "label", "n")
+    result = join_counted(signed.withColumnRenamed("n", "n_shingles"), special, "cid", "left")
+    return numbered, result.select("uid", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "uid")).otherwise(F.col("uid")).alias("component")), plain
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -379,11 +528,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(ids, "uid").join(first, "component").select("doc_id", "n_shingles", "component_id")
 
 
+def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (uid a, uid b of the first documents of all linked classes of different sets;
+    uid, doc_id, first: every document with a shingle and the first one of its class).
+
+    Every pair that meets and passes the filters is verified here, in crowds as well.
+    """
+    numbered, _ = identified(docs)
+    size = text_bytes(numbered)
+    signed, classes, clashes = classified(numbered)
+    pairs, members = _first_pairs(numbered, clashes, size)
+    more = open_pairs(members, classes.select(F.col("cid").alias("a"), F.col("rep").alias("label")), None)
+    if more is not None:
+        pairs = cut(pairs.unionByName(more).distinct())
+    of = join_counted(signed.filter("n > 0").select("uid", "cid"), classes.select("cid", "n", F.col("rep").alias("first")), "cid")
+    return verified(numbered, classes, pairs), numbered.select("uid", "doc_id").join(of.select("uid", "first"), "uid")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, n_links: how many other documents each document with a shingle links with."""
+    pairs, members = similar_pairs(docs)
+    members = cut(members)
+    size = cut(members.groupBy("first").agg(F.count("*").alias("n")))
+    ends = pairs.select(F.col("a").alias("first"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    linked = ends.join(size.withColumnsRenamed({"first": "other", "n": "copies"}), "other").groupBy("first").agg(F.sum("copies").alias("others"))
+    each = size.join(linked, "first", "left").select("first", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return join_counted(members, each, "first").select("uid", "doc_id", "n_links")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns."""
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    numbered, found, _ = join_components(docs, *own)
+    numbered, found, _ = join_components(docs, whole=True)
     others = cut(found.filter("component <> uid").select("uid"))
-    gone = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    gone = F.broadcast(others) if 24 * others.count() <= BROADCAST_BYTES else others
     kept = numbered.join(gone, "uid", "left_anti")
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)

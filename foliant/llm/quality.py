@@ -19,9 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Rolling, Words, slices, utf8, window_hashes
+from .common import Words, by_position, place_of, slices, texts, utf8, window_hashes
 
 #: A text needs this many words, and at most this share of them in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -74,14 +73,15 @@ def suffix_repeats(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray,
     again = count > 1
     if not again.any():
         return none, none, none, np.zeros(n, dtype=bool)
-    rank = np.full(n, -1, dtype=np.int64)
+    rank = np.full(n, -1, dtype=np.int32 if n < 1 << 31 else np.int64)
     rank[at[order]] = first
     active = at[order[again]]
     start_group = rank[active].copy()
     repeated = _covered(active, np.full(len(active), size), n)
 
-    # Prefix doubling: a group is split by the rank of what follows `step` words on.
-    levels, step = [(size, rank.copy())], size
+    # Prefix doubling: a group is split by the rank of what follows `step` words on.  Each
+    # round keeps only the ranks that it changes, as they were before.
+    rounds, step = [], size
     pending = active
     while len(pending):
         ahead = pending + step
@@ -107,10 +107,11 @@ def suffix_repeats(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray,
         at_change = np.flatnonzero(change)
         width = np.diff(np.append(at_change, len(pending)))
         sub = np.repeat(at_change, width)
+        moved = sub != head
+        rounds.append((step, pending[moved].astype(rank.dtype), group[moved].astype(rank.dtype)))
         rank[pending] = group + sub - head
         step *= 2
         pending = pending[np.repeat(width, width) > 1]
-        levels.append((step, rank.copy()))
 
     sort = np.argsort(rank[active], kind="stable")
     order, groups = active[sort], start_group[sort]
@@ -119,12 +120,16 @@ def suffix_repeats(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray,
     pair = groups[1:] == groups[:-1]
     left, right = left[pair], right[pair]
     length = np.zeros(len(left), dtype=np.int64)
-    for step, ranks in reversed(levels):
+    while True:  # from the last round's ranks (equal over `step` words) back to the first
         a, b = left + length, right + length
         ok = (a + step <= n) & (b + step <= n)
         ok[ok] = (words.doc[a[ok] + step - 1] == words.doc[left[ok]]) & (words.doc[b[ok] + step - 1] == words.doc[right[ok]])
-        ok[ok] = (ranks[a[ok]] == ranks[b[ok]]) & (ranks[a[ok]] >= 0)
+        ok[ok] = (rank[a[ok]] == rank[b[ok]]) & (rank[a[ok]] >= 0)
         length[ok] += step
+        if not rounds:
+            break
+        step, changed, before = rounds.pop()
+        rank[changed] = before
     for _ in range(size - 1):  # what is left is shorter than a window
         a, b = left + length, right + length
         ok = (a < n) & (b < n)
@@ -144,6 +149,20 @@ def lcp_intervals(shared: np.ndarray, least: int) -> np.ndarray:
     return begins
 
 
+def _seen_before(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a line's bytes are those of an earlier line of its document."""
+    raw, last, seen, out = data.tobytes(), -1, set(), np.zeros(len(starts), dtype=bool)
+    for k, (a, b, d) in enumerate(zip(starts.tolist(), stops.tolist(), doc.tolist())):
+        if d != last:
+            last, seen = d, set()
+        line = raw[a:b]
+        if line in seen:
+            out[k] = True
+        else:
+            seen.add(line)
+    return out
+
+
 def measure(data: np.ndarray, bounds: np.ndarray, span: int, cover: int, longest: int) -> dict[str, np.ndarray]:
     words = Words(data, bounds)
     docs, n = words.docs, len(words.hash)
@@ -162,12 +181,7 @@ def measure(data: np.ndarray, bounds: np.ndarray, span: int, cover: int, longest
     np.cumsum(words.inside, out=held[1:])
     some = held[stops] > held[starts]
     starts, stops, line_doc = starts[some], stops[some], line_doc[some]
-    h = Rolling(data).ranges(starts, stops)
-    order = np.lexsort((h, line_doc))
-    d, h = line_doc[order], h[order]
-    twice = np.zeros(len(h), dtype=bool)
-    twice[1:] = (d[1:] == d[:-1]) & (h[1:] == h[:-1])
-    out["n_dup_lines"] = np.bincount(d[twice], minlength=docs).astype(np.int64)
+    out["n_dup_lines"] = np.bincount(line_doc[_seen_before(data, starts, stops, line_doc)], minlength=docs).astype(np.int64)
 
     order, shared, reach, repeated = suffix_repeats(words)
     out["n_repeat_words"] = np.bincount(words.doc[repeated], minlength=docs).astype(np.int64) if n else np.zeros(docs, np.int64)
@@ -193,16 +207,17 @@ def quality_scores(docs: DataFrame, span_words: int = SPAN_WORDS, max_covered_pe
             names = [c.split()[0] for c in COLUMNS.split(", ")]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[c]) for c in names)], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {COLUMNS}")
+    return texts(docs).mapInArrow(run, f"doc_id long, {COLUMNS}")
 
 
 def quality_filter(docs: DataFrame, span_words: int = SPAN_WORDS, max_covered_percent: int = MAX_COVERED_PERCENT, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The documents that the rules keep, with all their columns, in one pass and without a shuffle."""
-    at = docs.columns.index("text")
+    plain, names = by_position(docs)
+    at = place_of(names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, at):
             got = measure(*utf8(part.column(at)), span_words, max_covered_percent, max_longest)
             yield part.filter(pa.array(got["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

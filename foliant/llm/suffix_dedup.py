@@ -1,21 +1,24 @@
-"""Exact substring dedup: suffixes sorted shallow and deep, in fragments that hold all equals.
+"""Exact substring dedup: suffixes sorted shallow and deep, in buckets that hold all equals.
 
 A byte goes if a string of LENGTH bytes that covers it also starts earlier (in order of
 document, then place).  Every such string holds one anchor: of its substrings of ANCHOR
 bytes the one with the least hash, leftmost.  Equal strings have equal anchors, so the
-corpus splits into fragments by anchor that can be sorted apart:
-
-1. The piece of text that holds all strings of an anchor is sent to the anchor's fragment
-   as a hash.  Of pieces that are equal as a whole the earliest counts and the others
-   repeat; an anchor with one kind of piece needs no more work.  Very frequent anchors are
-   a bounded table (see `frequent`).
-2. Where an anchor has several kinds of pieces, the earliest of each kind is sent as bytes.
-   Strings around a very frequent anchor are sent one by one as 128-bit digests and dealt by
-   those instead, so that an anchor that is in every document doesn't make one task's work.
-3. In a fragment the strings that begin at each place of these pieces are sorted
-   deep-shallow: by words of eight bytes down to SHALLOW bytes (np.lexsort in place of a
-   multikey quicksort), then a blind trie for each group that is still equal.  Neighbours whose common prefix is the
-   whole LENGTH are equal strings, and all but the earliest are repeats.
+strings fall into buckets by anchor that can be sorted apart:
+
+1. The piece of text that holds all strings of an anchor is named to the anchor's fragment.
+   An anchor that stands in one piece only needs no more work.  The strings around a very
+   frequent anchor (a bounded table, see `frequent`) are named one by one, by hashes of
+   their own, so that an anchor that is in every document doesn't make one task's work.
+   This is a filter: it says what has to be compared, and never that anything repeats.
+2. What has to be compared is sent as bytes.  A task sends equal pieces once.
+3. In each bucket of the fragment, the strings that begin at each place of its different
+   pieces are sorted deep-shallow: by a multikey quicksort with ternary partition over words
+   of eight bytes down to SHALLOW bytes, then a blind trie for each group that is still
+   equal.  Of equal strings all but the earliest are repeats.  A bucket with one kind of
+   piece has no two equal strings to order; all but the earliest place of the piece repeat.
+
+Nothing is taken out on a hash: pieces and strings that repeat were equal byte for byte.
+A long text is cut into segments that overlap by a string, so memory doesn't grow with it.
 
 Defined cases: null and empty texts, and those under LENGTH bytes, lose nothing; repeated
 rows and null ids: rows are taken in order of id (nulls last) and text; an empty table
@@ -29,61 +32,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import BYTE_VALUE, Rolling, fmix, identified, partitions, slices, spread, utf8
-from .deal import ABOUT, about, blob, by_fragment, deal, fragment_of, spans_of, undeal, with_records
+from .common import SLICE_BYTES, eights, fmix, identified, partitions, range_hashes, slices, spread, text_bytes, utf8
+from .deal import ABOUT, DEALT, about, blob, by_fragment, deal, dealt_rows, fragment_of, fragments_of, gathered, spans_of, undeal, with_records
 from .frequent import frequent_prints
 
-LENGTH, ANCHOR, SHALLOW = 100, 24, 24
-#: Anchors this frequent have their strings dealt one by one, as digests of DIGEST bytes.
-CROWD, DIGEST = 2048, 16
-HELD = 1 << 20
+#: ANCHOR and SHALLOW are whole words of eight bytes.
+LENGTH, ANCHOR, SHALLOW = 100, 24, 32
+#: Anchors this frequent have their strings dealt one by one.
+CROWD = 2048
+#: Strings that a task holds before it names them, bytes before it sends them, and bytes of one segment.
+HELD, HELD_BYTES, SEGMENT = 1 << 19, 12 << 20, SLICE_BYTES
+#: Parts that the quicksort leaves to a plain sort.
+SMALL = 24
 
 _U = np.uint64
-_OTHER = fmix(BYTE_VALUE ^ _U(0x452821E638D01377))
 
 
 class Pieces:
-    """Runs of neighbouring strings with one anchor: hash, first start and number of strings."""
+    """Runs of neighbouring strings with one anchor: hash, first start, number of strings, document."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        n, reach = len(data), LENGTH - ANCHOR + 1
-        empty = np.empty(0, np.int64)
-        self.hash, self.first, self.count, self.doc = np.empty(0, _U), empty, empty, empty
+        self.data = data
+        found = [self._segment(data, bounds, at, min(len(data), at + SEGMENT + LENGTH - 1)) for at in range(0, max(1, len(data)), SEGMENT)]
+        self.hash, self.first, self.count, self.doc = (np.concatenate(c) for c in zip(*found))
+
+    @staticmethod
+    def _segment(data: np.ndarray, bounds: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+        n, reach, empty = high - low, LENGTH - ANCHOR + 1, np.empty(0, np.int64)
         if n < LENGTH:
-            return
-        place = np.arange(n - ANCHOR + 1)
-        self.rolling = Rolling(data)
-        h = self.rolling.ranges(place, place + ANCHOR)
-        bits = _U(max(20, int(n).bit_length()))
-        least = (h >> bits << bits) | place.astype(_U)  # the leftmost of equal ones is the least
+            return np.empty(0, _U), empty, empty, empty
+        words, m = eights(data[low:high]), n - ANCHOR + 1
+        h = words[:m] * _U(0x9E3779B97F4A7C15)
+        h += words[8 : m + 8] * _U(0xC2B2AE3D27D4EB4F)
+        h += words[16 : m + 16] * _U(0x165667B19E3779F9)
+        h ^= h >> _U(32)
+        h *= _U(0xD6E8FEB86659FD93)
+        # Upper half by hash, lower half by place: of equal ones the leftmost is the least.
+        least = h & _U(0xFFFFFFFF00000000)
+        least |= np.arange(m, dtype=_U)
         width = 1
         while 2 * width <= reach:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
-        at = (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
-        start = np.arange(len(at))
-        doc = np.searchsorted(bounds, start, "right") - 1
-        whole = start + LENGTH <= bounds[doc + 1]
-        at, start, doc = at[whole], start[whole], doc[whole]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        at = (least & _U(0xFFFFFFFF)).astype(np.int64)
+        # Strings that lie in one document.
+        inner = np.clip(bounds, low, high) - low
+        whole = np.zeros(len(at), dtype=bool)
+        doc = np.zeros(len(at), dtype=np.int64)
+        for d in range(int(np.searchsorted(bounds, low, "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
+            a, b = int(inner[d]), min(len(at), int(inner[d + 1]) - LENGTH + 1)
+            if b > a:
+                whole[a:b], doc[a:b] = True, d
+        new = whole.copy()
+        new[1:] &= (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | ~whole[:-1]
         first = np.flatnonzero(new)
+        ends = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True)) + 1
         # Least hashes crowd at the low end; mixed again, they spread over the fragments.
-        self.hash, self.first, self.doc = fmix(h[at[first]] ^ _U(0xA0761D6478BD642F)), start[first], doc[first]
-        self.count = np.diff(np.append(first, len(at)))
+        return fmix(h[at[first]] ^ _U(0xA0761D6478BD642F)), first + low, ends - first, doc[first]
 
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one big-endian number (zeros beyond the end)."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(_U)
-    out = np.zeros(len(data), dtype=_U)
-    for k in range(8):
-        out |= padded[k : k + len(data)] << _U(56 - 8 * k)
-    return out
+    return eights(data)[: len(data)].astype("<u8").byteswap()
 
 
 class BlindTrie:
@@ -130,87 +143,128 @@ class BlindTrie:
                 stack.extend(node[1][b] for b in sorted(node[1], reverse=True))
 
 
-def deep_shallow(data: np.ndarray, start: np.ndarray, size: int = LENGTH, shallow: int = SHALLOW) -> Iterator[list[int]]:
-    """The strings data[s:s + size] in sorted order, as groups of equal ones (indices into start)."""
-    words = _words(data)
-    keys = [words[start + k] for k in range(0, shallow, 8)]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    at = np.flatnonzero(new).tolist()
+def multikey_quicksort(words: np.ndarray, start: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings within their buckets (equal neighbours in `bucket`) by `depth` words
+    of eight bytes, and whether each begins a group of its own.
+
+    Every part is split three ways by the word at its own depth: less than, equal to and
+    greater than the median of its first, middle and last string; the equal strings go one
+    word deeper.  All parts of one round are split in the same array passes, and parts of at
+    most SMALL strings are left to a plain sort.
+    """
+    n = len(start)
+    order, none = np.arange(n), np.empty(0, np.int64)
+    low = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if n else none
+    size, level, small = np.diff(np.append(low, n)), np.zeros(len(low), dtype=np.int64), [(none, none)]
+    while True:
+        left = (size > 1) & (size <= SMALL)
+        small.append((low[left], size[left]))
+        big = size > SMALL
+        low, size, level = low[big], size[big], level[big]
+        if not len(low):
+            break
+        place = np.repeat(low, size) + spread(size)
+        part = np.repeat(np.arange(len(low)), size)
+        key = words[start[order[place]] + 8 * level[part]]
+        begin = np.cumsum(size) - size
+        a, b, c = key[begin], key[begin + size // 2], key[begin + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+        side = (key > pivot).astype(np.int64) + (key >= pivot)
+        count = np.bincount(3 * part + side, minlength=3 * len(low)).reshape(-1, 3)
+        to = np.empty(len(place), dtype=np.int64)
+        for k in range(3):
+            mine = side == k
+            rank = np.cumsum(mine) - mine
+            to[mine] = (low + count[:, :k].sum(axis=1) - rank[begin])[part[mine]] + rank[mine]
+        order[to] = order[place]
+        low = (low[:, None] + np.cumsum(count, axis=1) - count).ravel()
+        size, level = count.ravel(), (level[:, None] + np.array([0, 1, 0])).ravel()
+        more = level < depth
+        low, size, level = low[more], size[more], level[more]
+    low, size = (np.concatenate(c) for c in zip(*small))
+    sort = np.argsort(low)
+    low, size = low[sort], size[sort]
+    place = np.repeat(low, size) + spread(size)
+    mine = order[place]
+    keys = [words[start[mine] + 8 * k] for k in range(depth)]
+    order[place] = mine[np.lexsort((*keys[::-1], np.repeat(low, size)))]
+    new = np.ones(n, dtype=bool)
+    new[1:] = bucket[order][1:] != bucket[order][:-1]
+    for k in range(depth):
+        key = words[start[order] + 8 * k]
+        new[1:] |= key[1:] != key[:-1]
+    return order, new
+
+
+def deep_shallow(data: np.ndarray, start: np.ndarray, bucket: np.ndarray | None = None, size: int = LENGTH, shallow: int = SHALLOW) -> Iterator[list[int]]:
+    """Groups of two and more equal strings data[s:s + size] (indices into start), in sorted order within each bucket."""
+    order, new = multikey_quicksort(_words(data), start, np.zeros(len(start), np.int64) if bucket is None else bucket, shallow // 8)
+    at = np.flatnonzero(new)
+    width = np.diff(np.append(at, len(order)))
+    several = width > 1
     raw, starts, order = data.tobytes(), start.tolist(), order.tolist()
-    for a, b in zip(at, [*at[1:], len(order)]):
-        if b - a == 1:
-            yield [order[a]]
-            continue
-        group = order[a:b]
+    for a, n in zip(at[several].tolist(), width[several].tolist()):
+        group = order[a : a + n]
         first = starts[group[0]]
         trie = BlindTrie(raw[first + shallow : first + size], group[0])
         for i in group[1:]:
             s = starts[i]
             trie.add(raw[s + shallow : s + size], i)
         for _, members in trie.leaves():
-            yield members
+            if len(members) > 1:
+                yield members
 
 
-#: What records about a document say: pieces to be compared by their bytes, or ranges that are known to repeat.
-COMPARE, REPEAT = b"\0", b"\1"
-
-
-def _tagged(tag: bytes, batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([tag + x.as_py() for x in batch.column(1)], pa.binary())], ["uid", "records"])
-
+def _among(h: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    if not len(prints):
+        return np.zeros(len(h), dtype=bool)
+    mine = (h >> _U(32)).astype(np.uint32)
+    return prints[np.minimum(np.searchsorted(prints, mine), len(prints) - 1)] == mine
 
-def _pass_on(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows for fragments; those about documents (column 2) are put into `passed`."""
-    for batch in batches:
-        told = batch.column(2).is_valid()
-        some = batch.filter(told)
-        if some.num_rows:
-            passed.append(pa.RecordBatch.from_arrays([some.column(2), some.column(1)], ["uid", "records"]))
-        yield batch.filter(pc.invert(told))
 
+def _strings(pieces: Pieces, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, document and own hash of each string of the crowded pieces."""
+    n = pieces.count[crowded]
+    one = np.repeat(pieces.first[crowded], n) + spread(n)
+    words, h = eights(pieces.data), np.zeros(len(one), dtype=_U)
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        h = fmix(h ^ words[one + k])
+    return one, np.repeat(pieces.doc[crowded], n), h
 
-def compared(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """What anchors tell about each document, as tagged records.
 
-    Pieces of one anchor that are equal as a whole (by hash) are one kind: all but the
-    earliest repeat.  Where an anchor has several kinds, the earliest piece of each is to
-    be compared with the others by its bytes.
-    """
-    spark = numbered.sparkSession
-    parts = partitions(spark)
-    fragments = 4 * parts
-    table = spark.sparkContext.broadcast(crowd[0])
-    kinds = ["<u4", "u1", "<u8", "<i8", "<u4", "u1"]
+def compared(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray], parts: int, fragments: int) -> DataFrame:
+    """For each document the starts of its pieces whose anchor stands in other pieces too, and of its
+    strings around very frequent anchors that share their hash with others."""
+    table = numbered.sparkSession.sparkContext.broadcast(crowd[0])
+    kinds = ["<u4", "u1", "<i8", "<u4", "u1"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def out() -> pa.RecordBatch:
-            h, c, uid, first, count = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((first, uid, c, h))
-            same = np.append(False, (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1]))
-            one, again = order[~same], order[same]
-            columns = [h.astype("<u4"), ((h >> _U(32)) & _U(255)).astype("u1"), c, uid.astype("<i8"), first.astype("<u4"), count.astype("u1")]
-            numbers, blobs = deal(fragment_of(h[one], fragments), [x[one] for x in columns])
-            uids, told = _ranges(uid[again], first[again], first[again] + count[again] + LENGTH - 1)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(numbers + [u % fragments for u in uids], pa.int64()), pa.array(blobs + [REPEAT + x for x in told], pa.binary()), pa.array([None] * len(numbers) + uids, pa.int64())], ["fragment", "blob", "uid"]
-            )
+            h, uid, first = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h, kind="stable")
+            h, uid, first = h[order], uid[order], first[order].astype("<u4")
+            again = np.append(False, h[1:] == h[:-1])
+            shared = np.append(again[1:], False)[~again]
+            one = h[~again]
+            columns = [one.astype("<u4"), ((one >> _U(32)) & _U(255)).astype("u1"), uid[~again].astype("<i8"), first[~again], shared.astype("u1")]
+            uids, told = deal(uid[again], [first[again]])
+            return dealt_rows(*deal(fragment_of(one, fragments), columns), uids, told, fragments)
 
         for part in slices(batches):
             data, bounds = utf8(part.column(1))
             pieces = Pieces(data, bounds)
-            rare = ~_among(pieces.hash, table.value)
-            if rare.any():
-                doc, first, count = pieces.doc[rare], pieces.first[rare], pieces.count[rare]
-                # All 64 bits: pieces of one anchor share its hash, so only this tells them apart.
-                whole = pieces.rolling.ranges(first, first + count + LENGTH - 1)
-                held.append((pieces.hash[rare], whole, np.asarray(part.column(0))[doc], first - bounds[doc], count))
-                total += len(first)
+            if not len(pieces.first):
+                continue
+            crowded, uid = _among(pieces.hash, table.value), np.asarray(part.column(0))
+            rare = ~crowded
+            first, doc, h = pieces.first[rare], pieces.doc[rare], pieces.hash[rare]
+            if crowded.any():
+                one, of, own = _strings(pieces, crowded)
+                first, doc, h = np.append(first, one), np.append(doc, of), np.append(h, own)
+            held.append((h, uid[doc], first - bounds[doc]))
+            total += len(h)
             if total >= HELD:
                 yield out()
                 held, total = [], 0
@@ -218,24 +272,20 @@ def compared(numbered: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataF
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[pa.RecordBatch] = []
-        for _, blobs in by_fragment(_pass_on(batches, passed)):
-            low, high, c, uid, first, count = undeal(blobs, kinds)
+        for fragment, blobs in by_fragment(batches):
+            if fragment is None:
+                yield blobs
+                continue
+            low, high, uid, first, shared = undeal(blobs, kinds)
             h = low.astype(_U) | high.astype(_U) << _U(32)
-            order = np.lexsort((first, uid, c, h))
-            h, c, uid, first, count = h[order], c[order], uid[order], first[order].astype(np.int64), count[order].astype(np.int64)
-            same = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))[: len(h)]
-            if same.any():
-                yield _tagged(REPEAT, about(uid[same], [first[same].astype("<u4"), (first + count + LENGTH - 1)[same].astype("<u4")]))
-            h, uid, first = h[~same], uid[~same], first[~same]
-            alike = h[1:] == h[:-1]
-            several = np.append(False, alike) | np.append(alike, False) if len(h) else np.empty(0, bool)
-            if several.any():
-                yield _tagged(COMPARE, about(uid[several], [first[several].astype("<u4")]))
-        yield from passed
-
-    dealt = numbered.select("uid", "text").mapInArrow(send, "fragment long, blob binary, uid long")
-    return dealt.repartition(parts, "fragment").mapInArrow(meet, ABOUT)
+            order = np.argsort(h, kind="stable")
+            alike = h[order][1:] == h[order][:-1]
+            several = order[np.append(False, alike) | np.append(alike, False) | (shared[order] > 0)]
+            if len(several):
+                yield about(uid[several], [first[several]])
+
+    dealt = numbered.select("uid", "text").mapInArrow(send, DEALT)
+    return gathered(dealt, parts).mapInArrow(meet, ABOUT)
 
 
 def _ranges(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -250,42 +300,28 @@ def _ranges(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[i
     return uid[at].tolist(), out
 
 
-def _among(h: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    if not len(prints):
-        return np.zeros(len(h), dtype=bool)
-    mine = (h >> _U(32)).astype(np.uint32)
-    return prints[np.minimum(np.searchsorted(prints, mine), len(prints) - 1)] == mine
-
-
-def _reach(text: bytes) -> int:
-    """Bytes of the document that an entry stands for."""
-    return LENGTH if len(text) == DIGEST else len(text)
-
-
 def _pack(pieces: list[tuple[int, int, int, bytes]]) -> bytes:
     h, uid, first, text = zip(*pieces)
     head = [np.array(h, "<u8"), np.array(uid, "<i8"), np.array(first, "<u4"), np.array([len(t) for t in text], "<u2")]
-    return np.array([len(pieces)], "<u4").tobytes() + b"".join(c.tobytes() for c in head) + b"".join(text)
+    body = b"".join(text)
+    return np.array([len(pieces), len(body)], "<u4").tobytes() + b"".join(c.tobytes() for c in head) + pa.compress(body, "zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    n, at = int(np.frombuffer(data, "<u4", 1)[0]), 4
-    head = []
+    n, size = np.frombuffer(data, "<u4", 2).tolist()
+    head, at = [], 8
     for kind in ("<u8", "<i8", "<u4", "<u2"):
         head.append(np.frombuffer(data, kind, n, at).tolist())
         at += n * np.dtype(kind).itemsize
-    for h, uid, first, size in zip(*head):
-        yield h, uid, first, data[at : at + size]
-        at += size
+    body, at = pa.decompress(data[at:], size, "zstd", asbytes=True), 0
+    for h, uid, first, length in zip(*head):
+        yield h, uid, first, body[at : at + length]
+        at += length
 
 
-def repeated_strings(numbered: DataFrame, told: DataFrame, crowd: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def repeated_strings(numbered: DataFrame, told: DataFrame, crowd: tuple[np.ndarray, np.ndarray], parts: int, fragments: int) -> DataFrame:
     """For each document the ranges that repeat earlier strings (rows of deal.ABOUT: start, end)."""
-    spark = numbered.sparkSession
-    parts = partitions(spark)
-    fragments = 4 * parts
-    table = spark.sparkContext.broadcast(crowd[0])
-    schema = "fragment long, blob binary, uid long"
+    table = numbered.sparkSession.sparkContext.broadcast(crowd[0])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int, int]] = {}
@@ -296,58 +332,44 @@ def repeated_strings(numbered: DataFrame, told: DataFrame, crowd: tuple[np.ndarr
             by: dict[int, list[tuple[int, int, int, bytes]]] = {}
             for text, (uid, first, h) in seen.items():
                 by.setdefault((h >> 40) * fragments >> 24, []).append((h, uid, first, text))
-            uids, told = [], []
-            if known:
-                uids, told = _ranges(*(np.array(c, dtype=np.int64) for c in zip(*known)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*by, *(u % fragments for u in uids)], pa.int64()), pa.array([*map(_pack, by.values()), *told], pa.binary()), pa.array([None] * len(by) + uids, pa.int64())],
-                ["fragment", "blob", "uid"],
-            )
+            uids, ranges = _ranges(*(np.array(c, dtype=np.int64) for c in zip(*known))) if known else ([], [])
+            return dealt_rows([*by], [*map(_pack, by.values())], uids, ranges, fragments)
 
         for part in slices(batches, 2):
             data, bounds = utf8(part.column(2))
             pieces = Pieces(data, bounds)
-            if not len(pieces.first):
-                continue
             uid = part.column(0).to_pylist()
-            crowded = _among(pieces.hash, table.value)
-            chosen = np.zeros(len(pieces.first), dtype=bool)
-            for d, records in enumerate(part.column(3).to_pylist()):
-                (at,) = undeal([r[1:] for r in records or [] if r[:1] == COMPARE], ["<u4"])
-                if len(at):
-                    low, high = np.searchsorted(pieces.doc, d), np.searchsorted(pieces.doc, d, "right")
-                    chosen[low + np.searchsorted(pieces.first[low:high] - bounds[d], at)] = True
-                start, end = undeal([r[1:] for r in records or [] if r[:1] == REPEAT], ["<u4", "<u4"])
-                known += [(uid[d], x, y) for x, y in zip(*(c.tolist() for c in spans_of(start.astype(np.int64), end.astype(np.int64))))]
-            first, count, doc, h = (c[chosen] for c in (pieces.first, pieces.count, pieces.doc, pieces.hash))
+            mark = np.sort(np.concatenate([undeal(records, ["<u4"])[0] + bounds[d] for d, records in enumerate(part.column(3).to_pylist())]))
+            k = np.searchsorted(pieces.first, mark, "right") - 1  # the piece of each mark
+            crowded = _among(pieces.hash, table.value)[k]
+            text_end = np.where(crowded, mark, pieces.first[k] + pieces.count[k] - 1) + LENGTH
+            h = pieces.hash[k].copy()
+            if crowded.any():
+                h[crowded] = range_hashes(data, mark[crowded], mark[crowded] + LENGTH)
+            doc = pieces.doc[k]
             raw = data.tobytes()
-            texts = [raw[f : f + n + LENGTH - 1] for f, n in zip(first.tolist(), count.tolist())]
-            if crowded.any():  # each string by itself, as its digest, dealt by its own hash
-                n = pieces.count[crowded]
-                one = np.repeat(pieces.first[crowded], n) + spread(n)
-                digest = np.stack([pieces.rolling.ranges(one, one + LENGTH), Rolling(data, _OTHER).ranges(one, one + LENGTH)], axis=1)
-                both = digest.astype("<u8").tobytes()
-                texts += [both[k : k + DIGEST] for k in range(0, len(both), DIGEST)]
-                first, doc, h = np.append(first, one), np.append(doc, np.repeat(pieces.doc[crowded], n)), np.append(h, digest[:, 0])
-            for text, d, x, place in zip(texts, doc.tolist(), h.tolist(), (first - bounds[doc]).tolist()):
-                me, before = uid[d], seen.get(text)
+            for a, b, d, x, place in zip(mark.tolist(), text_end.tolist(), doc.tolist(), h.tolist(), (mark - bounds[doc]).tolist()):
+                text, me = raw[a:b], uid[d]
+                before = seen.get(text)
                 if before is None:
                     seen[text] = (me, place, x)
-                    size += len(text) + 40
-                else:
-                    if (me, place) < before[:2]:
-                        seen[text] = (me, place, x)
-                        me, place = before[:2]
-                    known.append((me, place, place + _reach(text)))
-            if size > 16 * HELD or len(known) > HELD:
+                    size += b - a
+                    continue
+                if (me, place) < before[:2]:
+                    seen[text] = (me, place, x)
+                    me, place = before[:2]
+                known.append((me, place, place + b - a))
+            if size > HELD_BYTES or len(known) > HELD:
                 yield out()
                 seen, known, size = {}, [], 0
         if seen or known:
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[pa.RecordBatch] = []
-        for _, blobs in by_fragment(_pass_on(batches, passed)):
+        for fragment, blobs in by_fragment(batches):
+            if fragment is None:
+                yield blobs
+                continue
             found: list[tuple[int, int, int]] = []
             pieces: dict[bytes, tuple[int, int, int]] = {}
             for data in blobs:
@@ -358,38 +380,36 @@ def repeated_strings(numbered: DataFrame, told: DataFrame, crowd: tuple[np.ndarr
                         if before is None:
                             continue
                         uid, first = before[:2]
-                    found.append((uid, first, first + _reach(text)))
-            # Of anchors with one kind of piece nothing is left to compare.
-            kinds: dict[int, int] = {}
-            for _, _, h in pieces.values():
-                kinds[h] = kinds.get(h, 0) + 1
-            held = [(text, uid, first) for text, (uid, first, h) in pieces.items() if kinds[h] > 1]
+                    found.append((uid, first, first + len(text)))
+            buckets: dict[int, list[tuple[bytes, int, int]]] = {}
+            for text, (uid, first, h) in pieces.items():
+                buckets.setdefault(h, []).append((text, uid, first))
+            held = [(k, *p) for k, b in enumerate(x for x in buckets.values() if len(x) > 1) for p in b]
+            pieces, buckets = {}, {}
             if held:
-                size = np.array([len(t) for t, _, _ in held])
-                begin = np.cumsum(size) - size
-                count = size - LENGTH + 1
-                inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                bucket, text, uid, first = zip(*held)
+                size = np.array([len(t) for t in text])
+                begin, count = np.cumsum(size) - size, size - LENGTH + 1
+                inner = spread(count)
                 start = np.repeat(begin, count) + inner
-                uid = np.repeat(np.array([u for _, u, _ in held]), count)
-                place = np.repeat(np.array([f for _, _, f in held]), count) + inner
+                uid, place = np.repeat(np.array(uid), count), np.repeat(np.array(first), count) + inner
                 rank = np.empty(len(start), dtype=np.int64)
                 rank[np.lexsort((place, uid))] = np.arange(len(start))
                 ranks, again = rank.tolist(), []
-                for group in deep_shallow(np.frombuffer(b"".join(t for t, _, _ in held), np.uint8), start):
-                    if len(group) > 1:
-                        least = min(group, key=ranks.__getitem__)
-                        again += [i for i in group if i != least]
+                for group in deep_shallow(np.frombuffer(b"".join(text), np.uint8), start, np.repeat(np.array(bucket), count)):
+                    least = min(group, key=ranks.__getitem__)
+                    again += [i for i in group if i != least]
                 if again:
                     again = np.array(again)
                     a = place[again]
-                    yield about(uid[again], [a.astype("<u4"), (a + LENGTH).astype("<u4")])
+                    uids, ranges = _ranges(uid[again], a, a + LENGTH)
+                    yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ranges, pa.binary())], ["uid", "records"])
             if found:
-                uid, a, b = (np.array(c) for c in zip(*found))
-                yield about(uid, [a.astype("<u4"), b.astype("<u4")])
-        yield from passed
+                uids, ranges = _ranges(*(np.array(c) for c in zip(*found)))
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ranges, pa.binary())], ["uid", "records"])
 
-    dealt = with_records(numbered, told).mapInArrow(send, schema)
-    return dealt.repartition(parts, "fragment").mapInArrow(meet, ABOUT)
+    dealt = with_records(numbered, told, "inner").mapInArrow(send, DEALT)
+    return gathered(dealt, parts).mapInArrow(meet, ABOUT)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -398,13 +418,17 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: bytes, bytes that go, maximal runs of them, and the rest's SHA-256 (and text)."""
     numbered, _ = identified(docs)
+    size = text_bytes(numbered)
+    parts = partitions(docs.sparkSession, 2 * size)
+    fragments = fragments_of(parts, 2 * size)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for part in slices(batches):
             yield Pieces(*utf8(part.column(1))).hash
 
-    crowd = frequent_prints(numbered.select("uid", "text"), hashes, CROWD)
-    records = repeated_strings(numbered, compared(numbered, crowd), crowd)
+    crowd = frequent_prints(numbered.select("uid", "text"), hashes, CROWD, size)
+    told = compared(numbered, crowd, parts, fragments)
+    records = repeated_strings(numbered, told, crowd, parts, fragments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):

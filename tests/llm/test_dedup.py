@@ -66,27 +66,65 @@ def test_substrings_repeated_and_empty(repeated, empty):
 
 
 def test_substrings_weak_hash(spark, monkeypatch):
-    """Pieces of one anchor whose hashes agree in 32 bits only are not equal."""
-
-    class Halves:
-        def __init__(self, rolling):
-            self.rolling = rolling
-
-        def ranges(self, start, end):
-            return self.rolling.ranges(start, end) & np.uint64(0xFFFFFFFF)
+    """Anchors and strings whose hashes agree are not taken for equal: bytes decide."""
 
     def weak(data, bounds, whole=suffix_dedup.Pieces):
         pieces = whole(data, bounds)
-        if len(data) >= suffix_dedup.LENGTH:
-            pieces.rolling = Halves(pieces.rolling)
+        pieces.hash = pieces.hash % np.uint64(5)
         return pieces
 
-    monkeypatch.setattr(suffix_dedup, "Pieces", weak)
+    def strings(pieces, crowded, whole=suffix_dedup._strings):
+        one, doc, h = whole(pieces, crowded)
+        return one, doc, h % np.uint64(7)
+
     rng = np.random.default_rng(4)
     word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
-    shared = word(90)
+    shared = word(150)
     texts = {i: word(120) + shared + word(120) for i in range(6)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    want = brute_substrings(texts)
+    monkeypatch.setattr(suffix_dedup, "_strings", strings)
+    for crowd in (2048, 1):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        if crowd > 1:
+            monkeypatch.setattr(suffix_dedup, "Pieces", weak)
+        else:
+            monkeypatch.undo()
+            monkeypatch.setattr(suffix_dedup, "_strings", strings)
+            monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        got = {r[0]: r[1:] for r in rows(suffix_dedup.dedup_substrings(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+        assert got == want
+
+
+def thue_morse(n):
+    """A word of two letters and its complement, which hashes of the polynomial kind take for equal."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_thue_morse(spark, n):
+    from foliant.llm import quality
+
+    a, b = thue_morse(n)
+    rng = np.random.default_rng(n)
+    tail = "".join(chr(97 + x) for x in rng.integers(0, 26, 40))
+    texts = {1: a, 2: b, 3: f"{a}\n{b}\n{tail}", 4: f"{b}\n{tail}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert components_of(df) == brute_components(texts)
+    got = {r[0]: r[1:] for r in rows(suffix_dedup.dedup_substrings(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+    assert got == brute_substrings(texts)
+    assert dict(rows(chunk_dedup.dedup_chunks(df), "doc_id", "text")) == brute_chunks(texts)
+    assert dict(rows(quality.quality_scores(df), "doc_id", "n_dup_lines")) == dict.fromkeys(texts, 0)
+
+
+def test_substrings_of_a_long_text(spark):
+    """Texts are cut into segments; strings across their borders are found as well."""
+    rng = np.random.default_rng(6)
+    body = bytes(rng.integers(97, 123, 600_000).astype(np.uint8)).decode()
+    at = suffix_dedup.SEGMENT
+    texts = {1: body, 2: body[at - 5000 : at + 5000], 3: "x" + body[2 * at - 150 : 2 * at + 20] + body[:99], 4: body[300_000:] + "ab" * 400}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r[0]: r[1:] for r in rows(suffix_dedup.dedup_substrings(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
     assert got == brute_substrings(texts)
 
@@ -106,32 +144,79 @@ def test_blind_trie():
 
 def test_deep_shallow_orders_all_suffixes():
     data = np.frombuffer(b"abracadabra" * 30 + b"xyz" * 40, np.uint8)
-    start = np.arange(len(data) - 100)
+    start, raw = np.arange(len(data) - 100), data.tobytes()
+    for small in (1, 24):
+        suffix_dedup.SMALL, kept = small, suffix_dedup.SMALL
+        order, new = suffix_dedup.multikey_quicksort(suffix_dedup._words(data), start, np.zeros(len(start), np.int64), 4)
+        suffix_dedup.SMALL = kept
+        heads = [raw[s : s + 32] for s in order]
+        assert heads == sorted(raw[s : s + 32] for s in start)
+        assert new.tolist() == [k == 0 or heads[k] != heads[k - 1] for k in range(len(heads))]
+    equal = defaultdict(list)
+    for s in start.tolist():
+        equal[raw[s : s + 100]].append(s)
     groups = list(suffix_dedup.deep_shallow(data, start))
-    strings = [data[g[0] : g[0] + 100].tobytes() for g in groups]
-    assert strings == sorted({data[s : s + 100].tobytes() for s in start})
-    assert sorted(i for g in groups for i in g) == start.tolist()
+    assert sorted(map(sorted, groups)) == sorted(g for g in equal.values() if len(g) > 1)
+    strings = [raw[g[0] : g[0] + 100] for g in groups]
+    assert strings == sorted(strings)
+
+
+def test_quicksort_keeps_buckets_apart():
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    start, bucket = np.arange(3900), np.repeat(np.arange(39), 100)
+    order, _ = suffix_dedup.multikey_quicksort(suffix_dedup._words(data), start, bucket, 3)
+    assert (bucket[order] == bucket).all()
+    raw = data.tobytes()
+    assert [raw[s : s + 24] for s in order] == [x for k in range(39) for x in sorted(raw[s : s + 24] for s in range(100 * k, 100 * k + 100))]
+
+
+def gear_of(b, p):
+    """Gear hash of the 16 bytes before p."""
+    from foliant.llm.common import BYTE_VALUE
+
+    return sum((int(BYTE_VALUE[x]) >> 13) << k for k, x in enumerate(reversed(b[max(0, p - 16) : p]))) & 0xFFFF
+
+
+def brute_bounds(b, least=48, most=256, bits=6):
+    """Chunk bounds of one text, by the words of the docstring."""
+    n = len(b)
+    ends = [p + 1 for p in range(n) if b[p] == 10]
+    fixed = {0, n}
+    for k, p in enumerate(ends):
+        if p - (ends[k - 1] if k else 0) >= least and n - p >= least:
+            fixed.add(p)
+    fixed = sorted(fixed)
+    places = [p for p in range(1, n) if (gear_of(b, p) >> (16 - bits)) == 0 and b[p] & 0xC0 != 0x80]
+    chosen = set(fixed)
+    for k, p in enumerate(places):
+        before, after = max(f for f in fixed if f <= p), min([f for f in fixed if f > p], default=n)
+        if (k == 0 or p - places[k - 1] >= least) and p - before >= least and after - p >= least:
+            chosen.add(p)
+    out, cuts = [], sorted(chosen)
+    for x, y in zip(cuts, cuts[1:]):
+        out.append(x)
+        while y - x >= most + least:
+            x += most
+            cut = x
+            while cut < n and b[cut] & 0xC0 == 0x80:
+                cut -= 1
+            out.append(cut)
+    return [*out, n] if n else [0]
 
 
 def brute_chunks(texts):
     seen, out = set(), {}
     for i in sorted(texts):
-        data, bounds = utf8(pa.array([texts[i]], pa.string()))
-        raw = data.tobytes()
-        cuts = chunk_dedup.boundaries(data, bounds).tolist() if raw else [0]
-        runs = []
+        raw, kept = (texts[i] or "").encode(), b""
+        cuts = brute_bounds(raw)
         for a, b in zip(cuts, cuts[1:]):
-            if raw[a:b] in seen:
-                if runs and runs[-1][1] == a:
-                    runs[-1][1] = b
-                else:
-                    runs.append([a, b])
-            seen.add(raw[a:b])
-        kept, at = b"", 0
-        for a, b in runs:
-            if b - a >= chunk_dedup.MIN_RUN:
-                kept, at = kept + raw[at:a], b
-        out[i] = (kept + raw[at:]).decode()
+            chunk = raw[a:b]
+            line = chunk[:-1] if chunk.endswith(b"\n") else chunk
+            if line not in seen:
+                kept += chunk
+            seen.add(line)
+        out[i] = kept.decode()
     return out
 
 
@@ -141,22 +226,17 @@ def test_chunks(odd, spark, sf):
         assert got == brute_chunks(texts)
 
 
-def test_chunks_short_runs(spark):
-    """Short repeats go where they are a whole document or whole lines, and stay within a line."""
+def test_chunks_of_lines(spark):
+    """Lines and short documents that repeat go, whatever stands around them."""
     rng = np.random.default_rng(8)
     word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
-    short, lines = word(40), "\n".join(word(12) for _ in range(7))
-    texts = {0: short, 1: short, 2: lines + "\n" + word(30), 3: word(30) + "\n" + lines + "\n" + word(30), 4: word(90), 5: ""}
-    texts[5] = texts[4][:80] + word(60)
+    short, line = word(30), word(70)
+    texts = {0: short, 1: short, 2: f"{word(60)}\n{line}\n{word(60)}", 3: f"{word(90)}\n{line}\n{word(80)}\n{line}", 4: short + word(30), 5: ""}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = dict(rows(chunk_dedup.dedup_chunks(df, whole_lines=True), "doc_id", "text"))
-    runs = brute_chunks(texts)
-    assert runs[1] == short and got[1] == ""
-    assert got[0] == short and got[2] == texts[2] and got[4] == texts[4] and got[5] == texts[5]
-    left = got[3].split("\n")
-    assert len(got[3]) < len(texts[3]) == len(runs[3]) and left[0] == texts[3][:30] and left[-1] == texts[3][-30:]
-    assert set(left) <= {*texts[3].split("\n"), ""}
-    assert chunk_dedup.lines_within(b"abc", 0, 3, 0, 3) == (0, 3) and chunk_dedup.lines_within(b"abc", 1, 3, 0, 3) == (1, 1)
+    got = dict(rows(chunk_dedup.dedup_chunks(df), "doc_id", "text"))
+    assert got == brute_chunks(texts)
+    assert got[0] == short and got[1] == "" and got[2] == texts[2] and got[4] == texts[4]
+    assert got[3] == texts[3].replace(line + "\n", "").removesuffix(line)
 
 
 def test_chunks_resist_insertions():
@@ -220,10 +300,7 @@ def test_join_documents(spark, sf, monkeypatch, fragment):
     assert components_of(df) == brute_components(dict(rows(df, "doc_id", "text")))
 
 
-def test_join_crowds(spark, monkeypatch):
-    """Many near copies of one text: with small crowds, pivots and the later rounds find the same components."""
-    for name, value in (("CROWD", 3), ("PIVOTS", 1), ("MORE_PIVOTS", (2,)), ("LEAST", 2)):
-        monkeypatch.setattr(ngram_join, name, value)
+def crowd_texts():
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
     texts = {}
@@ -232,10 +309,44 @@ def test_join_crowds(spark, monkeypatch):
         for p in rng.choice(120, rng.integers(0, 6), replace=False):
             t[p] = f"e{i}x{p}"
         texts[i] = " ".join(t) if i % 5 else " ".join(f"o{i}y{k}" for k in range(30)) + " " + " ".join(base[:60])
+    return texts
+
+
+@pytest.mark.parametrize("split", [12, 3])
+def test_join_crowds(spark, monkeypatch, split):
+    """Many near copies of one text: with small crowds, blocks and pivots, the later rounds find the same components."""
+    for name, value in (("CROWD", 3), ("PIVOTS", 1), ("MORE_PIVOTS", (2,)), ("LEAST", 2), ("BLOCK", 7), ("PAIRS", 4), ("SPLIT", split), ("FRAGMENT", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = crowd_texts()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     assert components_of(df) == brute_components(texts)
 
 
+def test_join_clashing_names(spark, monkeypatch):
+    """Sets whose 64-bit names agree stay apart."""
+
+    def weak(doc, h, docs, whole=ngram_join._signature):
+        n, cid, check = whole(doc, h, docs)
+        return n, cid % np.uint64(3), check
+
+    monkeypatch.setattr(ngram_join, "_signature", weak)
+    texts = {**{i: t for i, t in crowd_texts().items() if i < 20}, 20: "one two", 21: "one two", 22: "three", 23: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    assert components_of(df) == brute_components(texts)
+
+
+def test_links_of_each_document(spark, monkeypatch):
+    """The join itself verifies every pair, in crowds as well."""
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    texts = {i: t for i, t in crowd_texts().items() if i < 40}
+    texts |= {100: texts[1], 101: texts[1], 102: "", 103: None}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = {i: sum(1 for j, t in sets.items() if j != i and t and 100 * len(s & t) >= 75 * len(s | t)) for i, s in sets.items() if s}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert dict(rows(ngram_join.link_counts(df), "doc_id", "n_links")) == want
+
+
 def test_join_repeated_and_empty(repeated, empty):
     got = rows(ngram_join.near_duplicates(repeated), "doc_id", "n_shingles", "component_id")
     assert len(got) == 6
@@ -273,28 +384,61 @@ def test_lines_rules(spark):
     data = [(i, f"footer line\nown text number {i} which is long enough to stay\nrare {i}", f"s{i}") for i in range(9)]
     data += [(50, "footer line", "s1"), (51, None, "s2"), (52, "", None), (53, "footer line\n\nfooter line\n" + "y" * 60, "s3")]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    got = {r["doc_id"]: (r["text"], r["_n_removed"]) for r in line_dedup.dedup_lines(df).collect()}
+    got = {r["doc_id"]: (r["text"], r["report"]["n_removed"]) for r in line_dedup.dedup_lines(df, report="report").collect()}
     assert got[0] == ("own text number 0 which is long enough to stay\nrare 0", 1)
-    assert got[50] == ("footer line", 0)  # nothing else would be left: a copy, not a page
+    assert got[50] == ("", 1)
     assert got[51] == (None, 0) and got[52] == ("", 0)
     assert got[53] == ("\n" + "y" * 60, 2)
 
 
 def test_lines_odd(odd, empty):
     texts, df = odd
-    out = line_dedup.dedup_lines(df, min_sites=3)
-    assert out.columns == [*df.columns, "_n_lines", "_n_removed"]
+    out = line_dedup.dedup_lines(df, min_sites=3, report="lines")
+    assert out.columns == [*df.columns, "lines"]
     assert out.count() == len(texts)
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, report="row")
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
 def test_near_threshold_is_exact(spark):
     """A line on exactly the threshold of sites is boilerplate, one on a site less isn't."""
     data = [(i, f"at threshold\nbody {i} " + "z" * 40, f"s{i}") for i in range(8)] + [(100 + i, f"under threshold\nbody {i} " + "z" * 40, f"s{i}") for i in range(7)]
-    got = {r["doc_id"]: r["_n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_report(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
     assert all(got[i] == 1 for i in range(8)) and all(got[100 + i] == 0 for i in range(7))
 
 
+def test_lines_beyond_the_broadcast(spark, monkeypatch):
+    """Very frequent lines are looked up by a broadcast, the others by a shuffle; the result is the same."""
+    from foliant.llm import common
+
+    data = [(i, f"everywhere\nsome {i % 3}\nown {i}", f"s{i}") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = sorted(rows(line_dedup.line_report(df), "doc_id", "n_removed", "text"))
+    for module in (common, line_dedup):
+        monkeypatch.setattr(module, "BROADCAST_KEYS", 1)
+    monkeypatch.setattr(common, "KEY_ROWS", 30)
+    assert sorted(rows(line_dedup.line_report(df), "doc_id", "n_removed", "text")) == want
+    assert want[0] == (0, 2, "own 0")
+
+
+def test_clashing_and_dotted_columns(spark, sf):
+    """Stages take columns whose names hold dots, clash with theirs or differ in case only."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "source", "n_chars", "a.b", "_n_removed", "uid", "TEXT", "row", "c0"]
+    body = " ".join(f"w{i}" for i in range(60))
+    data = [(i, f"{body} {i} x{i} y{i} z{i} {i * 7}\nfooter", f"s{i}", 3, "d", 1, 2, "t", "r", "c") for i in range(9)]
+    schema = "doc_id long, text string, source string, n_chars long, ab string, nr long, uid long, t2 string, row string, c0 string"
+    df = spark.createDataFrame(data, schema).toDF(*names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, sf)
+        assert df.columns == names
+    got = df.collect()
+    assert [r[0] for r in got] == [0] and got[0][1] == data[0][1].removesuffix("\nfooter") and got[0][3] == len(got[0][1])
+    assert list(got[0])[4:] == ["d", 1, 2, "t", "r", "c"]
+
+
 def test_lines_of_any_length(spark):
     """A repeated line of over 300 characters is boilerplate too."""
     long = "a notice that stands on every site " * 15
