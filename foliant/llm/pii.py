@@ -1,15 +1,17 @@
 """Personal data by weak supervision: labelers vote, expectation-maximisation weighs them.
 
 Only DataFrame functions are used.  Patterns propose spans: the strict ones of the
-contract (whose valid matches always stay) and looser ones.  Six labelers vote 1, 0 or
+contract (whose valid matches always stay) and looser ones, also for US social security
+numbers and for secrets such as access tokens.  Six labelers vote 1, 0 or
 -1 on each: pattern and checksum, shape, a gazetteer of prefixes and endings, words
 before it that speak for or against it, and its edges.  Counts of the vote patterns over
 the whole corpus are a table of at most kinds x 3**6 rows; in it expectation-maximisation
-finds, by one SQL fold for each kind, how reliable each labeler is.  The resulting
+finds, by one SQL fold for each kind, how reliable each labeler is.  (Two are given, not
+learned: nine of ten numbers that are no card fail the check, and a word such as "commit"
+before a number names what it is.)  The resulting
 probabilities are the soft labels from which a naive Bayes span classifier over votes
-and surface features is fitted, again by counting over the whole corpus.  It decides
-which further spans are added; one that a checksum or limit speaks against is added
-only if a word before it speaks for it.
+and surface features is fitted, again by counting over the whole corpus.  That classifier
+alone decides which further spans are added.
 
 Positions are code points, end exclusive.  Defined cases: a null or empty text has no
 span; rows that repeat are judged alone; an empty table gives an empty result; extra
@@ -24,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Patterns of the contract; where a run is scanned once only, its start is given by \G or what is before it.
@@ -39,9 +41,10 @@ LOOSE = [
     ("email", r"(?i)\b[a-z0-9._-]{2,64} ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[a-z]{2,24}){1,3}\b"),
     ("phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,199}[0-9])(?=[0-9+/_-]{0,199}[A-Za-z])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"),
 ]
 #: What must be in a text for a loose pattern to be tried.
-_HINT = {"email": r"(?i)[\[(]at[\])]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
+_HINT = {"email": r"(?i)[\[(]at[\])]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "secret": r"[A-Za-z0-9+/_-]{20}"}
 
 #: Gazetteers, and words that speak for or against a kind.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|co|uk|de|fr|es|it|nl|eu|us|ca|au|ch|at|be|se|no|dk|fi|pl|pt|br|mx|jp|cn|in"
@@ -53,11 +56,16 @@ WORDS_FOR = {
     "card": r"card|visa|master ?card|amex|credit|debit|payment|pan",
     "phone": r"phone|tel|call|mobile|cell|fax|contact|whatsapp|sms",
     "ssn": r"ssn|social|security|tax|id",
+    "secret": r"tokens?|secret|(?:api|access|private)[_-]?key|key|password|passwd|pwd|auth|bearer|credentials?",
 }
 WORDS_AGAINST = r"version|release|build|isbn|issn|order|invoice|serial|model|figure|fig|table|page|section|doi|part|lot|sku"
+DIGESTS = r"sha-?(?:1|256|512)?|md5|commit|digest|checksum|hash|etag|revision"
+KEYS = r"AKIA|ASIA|gh[pousr]_|glpat-|sk[_-]|pk_|xox[abprs]-|AIza|ya29|eyJ"
 
 LABELERS, ROUNDS, ACCEPT = 6, 20, 0.9
-ALL_KINDS = [*KINDS, "ssn"]
+#: Log-odds of the votes -1, 0 and 1 that are given: of pattern and checksum, and of words that speak against a kind.
+GIVEN = "map(0, array(-4D, 0D, 4D), 4, array(-3D, 0D, 0D))"
+ALL_KINDS = [*KINDS, "ssn", "secret"]
 #: Kinds that may be one pattern's: how much each vote weighs at first.
 _CONTEXT = 32
 
@@ -144,12 +152,17 @@ def _votes(kind: str, strict: Column, s: Column) -> Column:
         shape = _vote(m.rlike(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), size < 7)
         listed = F.when(F.startswith(m, F.lit("+")), digits.rlike(rf"^(?:{CALLING})")).otherwise(digits.rlike(r"^[2-9][0-9]{2}[2-9]"))
         unlisted = ~listed
-    else:
+    elif kind == "ssn":
         shape = _vote(size == 9, size != 9)
         listed = ~m.rlike(r"^(?:000|666|9)") & ~m.rlike(r"-00-|-0000$")
         unlisted = ~listed
+    else:
+        shape = _vote(m.rlike(r"^(?:(?:[0-9a-f]{32}|[0-9A-F]{32})(?:[0-9a-fA-F]{8}|[0-9a-fA-F]{32})?|[A-Za-z0-9]{20,64})$"), m.rlike(r"[/_-][^/_-]*[/_-][^/_-]*[/_-]"))
+        listed = m.rlike(rf"^(?:{KEYS})")
+        unlisted = F.lit(False)
     context = _vote(s["before"].rlike(rf"(?i)\b(?:{WORDS_FOR[kind]})\b[^\n]{{0,12}}$"), F.lit(False))
-    against = _vote(F.lit(False), s["before"].rlike(rf"(?i)\b(?:{WORDS_AGAINST})\b[^\n]{{0,8}}$"))
+    words = DIGESTS if kind == "secret" else WORDS_AGAINST
+    against = _vote(F.lit(False), s["before"].rlike(rf"(?i)\b(?:{words})\b[^\n]{{0,8}}$"))
     clear = s["before"].rlike(r"(?:^|[^A-Za-z0-9_.@/-])$") & s["after"].rlike(r"^(?:$|[^A-Za-z0-9_@/-])")
     return F.array(pattern, shape, _vote(listed, unlisted), context, against, _vote(clear, ~clear))
 
@@ -168,7 +181,7 @@ def _features(s: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, the valid strict spans of each kind, and all proposals with votes and features."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("numeric", F.col("text").rlike("[0-9]"))
     wanted = {"email": F.contains("text", F.lit("@")), "ip": F.col("numeric"), "card": F.col("numeric"), "phone": F.contains("text", F.lit("+"))}
     anyway = {
@@ -200,15 +213,15 @@ def candidates(docs: DataFrame) -> DataFrame:
 #: One kind's patterns, an array of struct(votes, n), to labeler log-odds and the prior's, by expectation-maximisation.
 _EM = f"""
 aggregate(sequence(1, {ROUNDS}),
-  named_struct('prior', 0D, 'odds', transform(sequence(0, {LABELERS - 1}), j -> array(-1D, 0D, 1D))),
+  named_struct('prior', 0D, 'odds', transform(sequence(0, {LABELERS - 1}), j -> coalesce(try_element_at({GIVEN}, j), array(-1D, 0D, 1D)))),
   (s, i) -> transform(array(
       transform(patterns, p -> named_struct('votes', p.votes, 'n', p.n, 'q',
         1D / (1D + exp(-(s.prior + aggregate(sequence(0, {LABELERS - 1}), 0D, (t, j) -> t + s.odds[j][p.votes[j] + 1]))))))
     ), post -> named_struct(
       'prior', ln((aggregate(post, 0D, (t, p) -> t + p.n * p.q) + 1D) / (aggregate(post, 0D, (t, p) -> t + p.n * (1D - p.q)) + 1D)),
-      'odds', transform(sequence(0, {LABELERS - 1}), j -> transform(sequence(-1, 1), v ->
+      'odds', transform(sequence(0, {LABELERS - 1}), j -> coalesce(try_element_at({GIVEN}, j), transform(sequence(-1, 1), v ->
         ln((aggregate(post, 0D, (t, p) -> t + if(p.votes[j] = v, p.n * p.q, 0D)) + 1D) / (aggregate(post, 0D, (t, p) -> t + p.n * p.q) + 3D))
-        - ln((aggregate(post, 0D, (t, p) -> t + if(p.votes[j] = v, p.n * (1D - p.q), 0D)) + 1D) / (aggregate(post, 0D, (t, p) -> t + p.n * (1D - p.q)) + 3D)))))
+        - ln((aggregate(post, 0D, (t, p) -> t + if(p.votes[j] = v, p.n * (1D - p.q), 0D)) + 1D) / (aggregate(post, 0D, (t, p) -> t + p.n * (1D - p.q)) + 3D))))))
   )[0])
 """
 
@@ -258,20 +271,19 @@ def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     def score(s: Column) -> Column:
         names = F.array_append(_evidence(s["votes"], s["features"]), F.lit(""))
         total = F.aggregate(names, F.lit(0.0), lambda t, x: t + F.coalesce(F.element_at(weights, F.concat(s["kind"], F.lit("|"), x)), F.lit(0.0)))
-        return F.when(s["base"], F.lit(1.0)).otherwise(F.least(1 / (1 + F.exp(-total)), _posterior(models, s["kind"], s["votes"])))
+        return F.when(s["base"], F.lit(1.0)).otherwise(1 / (1 + F.exp(-total)))
 
     rank = F.create_map(*[x for i, k in enumerate(ALL_KINDS) for x in (F.lit(k), F.lit(i))])
 
     def ranked(s: Column) -> Column:
-        backed = (F.get(s["votes"], F.lit(0)) >= 0) | (F.get(s["votes"], F.lit(3)) > 0)
-        return F.struct(F.element_at(rank, s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), backed.alias("backed"), score(s).alias("score"))
+        return F.struct(F.element_at(rank, s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), score(s).alias("score"))
 
     ordered = F.array_sort(F.transform("spans", ranked))
     table = table.select("doc_id", ordered.alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
     fresh = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     table = table.withColumn("base", base)
-    table = table.withColumn("final", F.filter("spans", lambda s: s["base"] | ((s["score"] >= accept) & s["backed"] & fresh(s))))
+    table = table.withColumn("final", F.filter("spans", lambda s: s["base"] | ((s["score"] >= accept) & fresh(s))))
     of_kind = lambda k: lambda s: s["kind"] == k
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return table.select(
@@ -279,4 +291,5 @@ def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         *[F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         text(F.col("final")).alias("spans"),
+        F.size("final").cast("long").alias("n_spans"),
     )
