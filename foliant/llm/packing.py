@@ -1,61 +1,81 @@
 """Packing of tokenised documents into training windows by multiway differencing.
 
-A document's ids (with an end id) are cut into full windows; what is left of it is
-one shorter piece.  The pieces of one input partition are gathered into groups of
-about GROUP windows' worth, and each group is dealt to windows by the multiway form
+A document's ids (with an end id) are cut into full windows; what is left of it is cut into
+pieces of at most a quarter of a window, since longer ones can't be dealt evenly.  The pieces
+of one input partition are gathered into groups of GROUP windows' worth, less ROOM (the last
+piece of a group is cut where the group is full), and each group is dealt to windows by the multiway form
 of Karmarkar and Karp's differencing: partial partitions are merged largest spread
 first, the fullest window of one with the emptiest of the other.  Where a window
 exceeds its capacity the number of windows rises by one and the group is dealt again.
 
-No row is shuffled: every partition packs its own documents, holds one group at a
-time, and gives windows ids from its partition number, so a lost task gives the same
+A partial partition keeps its windows that hold anything, so the memory of a group is that
+of its pieces.  No row is shuffled: every partition packs its own documents, holds one group
+at a time, and gives windows ids from its partition number, so a lost task gives the same
 rows again.
 
 Defined cases: a null or empty text is its end id alone; rows that repeat a doc_id are
-documents of their own; an empty table gives an empty result; other columns are ignored.
+documents of their own, and a null id stays null; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, texts
 from .tokens import encoder
 
-WINDOW, GROUP = 2048, 32
+#: Ids in a window, windows in a group, and the part of a window that a full group leaves free in each.
+WINDOW, GROUP, ROOM = 2048, 256, 1 / 128
+
+
+def _merged(a: list, b: list, k: int) -> list:
+    """Two partial partitions into k windows as one: fullest with emptiest, windows in rising order."""
+    if len(a) < len(b):
+        a, b = b, a
+    both = max(0, len(a) + len(b) - k)  # so many of each don't meet an empty window
+    # Windows are (sum, tie-break, members); the smaller list of members joins the larger.
+    joined = []
+    for (x, i, mine), (y, j, other) in zip(a[:both], reversed(b[:both])):
+        if len(mine) < len(other):
+            mine, other = other, mine
+        mine.extend(other)
+        joined.append((x + y, min(i, j), mine))
+    joined += b[both:]
+    rest = a[both:]
+    if len(joined) > 16:
+        return sorted(rest + joined)
+    for window in joined:
+        insort(rest, window)
+    return rest
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Indices of `sizes` in k parts of nearly equal sum."""
-    heap = []
-    for i, size in enumerate(sizes):
-        # (minus the spread, tie-break, sums in falling order less their least, members of each part)
-        heap.append((-size, i, [size] + [0] * (k - 1), [[i]] + [[] for _ in range(k - 1)]))
+    # (minus the spread, tie-break, windows that hold anything); an empty window makes the spread the largest sum.
+    heap = [(-size if k > 1 else 0, i, [(size, i, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     tie = len(sizes)
     while len(heap) > 1:
-        _, _, a, mine = heapq.heappop(heap)
-        _, _, b, other = heapq.heappop(heap)
-        sums = [x + y for x, y in zip(a, reversed(b))]
-        parts = [x + y if y else x for x, y in zip(mine, reversed(other))]
-        order = sorted(range(k), key=sums.__getitem__, reverse=True)
-        least = sums[order[-1]]
-        heapq.heappush(heap, (least - sums[order[0]], tie, [sums[j] - least for j in order], [parts[j] for j in order]))
+        first, second = heapq.heappop(heap), heapq.heappop(heap)
+        windows = _merged(first[2], second[2], k)
+        heapq.heappush(heap, ((windows[0][0] if len(windows) == k else 0) - windows[-1][0], tie, windows))
         tie += 1
-    return heap[0][3] if heap else []
+    parts = [members for _, _, members in heap[0][2]] if heap else []
+    return parts + [[] for _ in range(k - len(parts))]
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Parts that each hold at most `capacity`; as few as differencing can fill."""
-    k = max(1, -(-sum(sizes) // capacity))
+    """Parts that each hold at most `capacity`: as many as it takes with ROOM to spare, and more as long as any is over."""
+    k = max(1, -(-sum(sizes) // (capacity - int(ROOM * capacity))))
     while True:
         parts = differencing(sizes, k)
         if max(sum(sizes[i] for i in p) for p in parts) <= capacity:
@@ -67,22 +87,27 @@ class Packer:
     """Pieces of one partition: full ones leave at once, others wait for their group."""
 
     def __init__(self, capacity: int, group: int, with_ids: bool):
-        self.capacity, self.group, self.with_ids = capacity, group, with_ids
+        self.capacity, self.quarter, self.with_ids = capacity, max(1, capacity // 4), with_ids
+        self.full = group * (capacity - int(ROOM * capacity))
         self.waiting: list[tuple] = []
         self.total = 0
 
     def add(self, doc_id, ids: bytes) -> Iterator[list[tuple]]:
-        step, n = 4 * self.capacity, len(ids) // 4
-        for at in range(0, len(ids), step):
-            part = ids[at : at + step]
-            piece = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), n, part if self.with_ids else b"")
-            if len(part) == step:
+        n, at = len(ids) // 4, 0
+        while at < n:
+            size = min(self.capacity, n - at)
+            if size < self.capacity:
+                size = min(size, self.quarter, self.full - self.total)
+            part = ids[4 * at : 4 * (at + size)]
+            piece = (doc_id, at, size, zlib.crc32(part), n, part if self.with_ids else b"")
+            at += size
+            if size == self.capacity:
                 yield [piece]
             else:
                 self.waiting.append(piece)
-                self.total += piece[2]
-        if self.total >= self.group * self.capacity:
-            yield from self.flush()
+                self.total += size
+                if self.total >= self.full:
+                    yield from self.flush()
 
     def flush(self) -> Iterator[list[tuple]]:
         if self.waiting:
@@ -131,4 +156,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = WIND
         yield out()
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, schema)

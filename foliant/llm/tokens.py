@@ -13,8 +13,8 @@ import os
 import re
 from array import array
 
-#: Pieces remembered per worker, and the longest piece that is remembered.
-MOST_PIECES, LONGEST_PIECE = 250_000, 40
+#: Pieces remembered per worker, the longest piece that is remembered, and bits of the marks that a piece leaves at first.
+MOST_PIECES, LONGEST_PIECE, MARKS = 300_000, 40, 1 << 22
 
 _LOOSE = re.compile(r"[ \n](?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -36,12 +36,15 @@ def _ids(tokenizer, text: str) -> bytes:
 
 
 class _Pieces(dict):
-    """Piece to ids; a piece has a space before it unless it begins with a line end."""
+    """Piece to ids; a piece has a space before it unless it begins with a line end.
+
+    Most distinct pieces occur once only, so a piece is remembered when it comes the second time.
+    """
 
     def __init__(self, tokenizer, most: int):
         super().__init__()
         self.tokenizer, self.most, self.marks = tokenizer, most, {}
-        self.model = tokenizer.model
+        self.model, self.met = tokenizer.model, bytearray(MARKS)
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_MARKS)
@@ -54,12 +57,17 @@ class _Pieces(dict):
         else:
             ids = _ids(self.tokenizer, piece if piece.startswith("\n") else " " + piece)
         if len(piece) <= LONGEST_PIECE and len(self) < self.most:
-            self[piece] = ids
+            mark = hash(piece) % MARKS
+            if self.met[mark]:
+                self[piece] = ids
+            else:
+                self.met[mark] = 1
         return ids
 
     def word(self, text: str) -> bytes:
         """Ids of letters with or without a space before them: the pattern keeps them whole, so the model alone is asked."""
-        return array("I", [t.id for t in self.model.tokenize("".join([_LETTER[b] for b in text.encode()]))]).tobytes()
+        letters = text.replace(" ", _LETTER[32]) if text.isascii() else "".join([_LETTER[b] for b in text.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def mark(self, text: str) -> bytes:
         """Ids of a run of marks that follows letters."""

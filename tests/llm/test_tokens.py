@@ -53,6 +53,38 @@ def test_differencing_is_near_equal():
     assert packing.windows_of([2048, 2048, 1], 2048).__len__() == 3
 
 
+def test_differencing_merges_fullest_with_emptiest():
+    """The sums are those of the plain definition: tuples with zeros, largest spread first, one reversed."""
+    import heapq
+
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes, k = [rng.randint(1, 90) for _ in range(rng.randint(1, 40))], rng.randint(1, 9)
+        heap = [(-s if k > 1 else 0, i, sorted([s] + [0] * (k - 1))) for i, s in enumerate(sizes)]
+        heapq.heapify(heap)
+        tie = len(sizes)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+            both = sorted(x + y for x, y in zip(a, reversed(b)))
+            heapq.heappush(heap, (both[0] - both[-1], tie, both))
+            tie += 1
+        got = packing.differencing(sizes, k)
+        assert sorted(i for p in got for i in p) == list(range(len(sizes)))
+        assert sorted(sum(sizes[i] for i in p) for p in got) == heap[0][2]
+
+
+def test_padding_of_a_corpus():
+    """Under one per cent where a partition holds many groups."""
+    rng = random.Random(5)
+    packer, total, windows = packing.Packer(2048, packing.GROUP, False), 0, 0
+    for d in range(5000):
+        n = int(rng.expovariate(1 / 700)) + 1
+        total += n
+        windows += sum(1 for _ in packer.add(d, bytes(4 * n)))
+    windows += sum(1 for _ in packer.flush())
+    assert total / (2048 * windows) > 0.99
+
+
 def check_packing(rows, texts, reference, capacity):
     by_doc, by_window = {}, {}
     for r in rows:
@@ -173,6 +205,12 @@ def test_pipeline(spark, sf, tmp_path, reference):
             assert set(after) == {i for i, t in texts.items() if brute_quality(t)[6]}
         elif name == "line_dedup":
             assert set(after) == set(before) and all(r["n_chars"] == len(r["text"]) for r in after.values())
+            sites = {}
+            for r in before.values():
+                for x in set(r["text"].split("\n")):
+                    sites.setdefault(x.strip(" "), set()).add(r["source"])
+            bad = {x for x, s in sites.items() if x and len(s - {None}) >= 8}
+            assert {i: r["text"] for i, r in after.items()} == {i: "\n".join(x for x in r["text"].split("\n") if x.strip(" ") not in bad) for i, r in before.items()}
         elif name == "ngram_jaccard_join":
             assert set(after) == {i for i, (_, c) in brute_components(texts).items() if c == i}
         else:
