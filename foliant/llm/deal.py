@@ -53,8 +53,8 @@ def fragments_of(parts: int, size: int) -> int:
 
 
 def gathered(dealt: DataFrame, parts: int) -> DataFrame:
-    """Rows of one fragment side by side in one partition, sorted by Spark, which can spill."""
-    return dealt.repartition(parts, "fragment").sortWithinPartitions("fragment")
+    """Rows of one fragment side by side in one partition, sorted by Spark, which can spill; as many fragments in each."""
+    return dealt.repartitionById(parts, F.pmod("fragment", F.lit(parts)).cast("int")).sortWithinPartitions("fragment")
 
 
 def dealt_rows(fragment: list[int], blobs: list[bytes], uids: list[int] = [], told: list[bytes] = [], fragments: int = 1) -> pa.RecordBatch:  # noqa: B006
@@ -102,10 +102,10 @@ def about(uid: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(blobs, pa.binary())], ["uid", "records"])
 
 
-def with_records(numbered: DataFrame, records: DataFrame, how: str = "left") -> DataFrame:
-    """uid, doc_id, text and the list of all records about each document (null: none; with "inner" only those that have any)."""
+def with_records(numbered: DataFrame, records: DataFrame) -> DataFrame:
+    """uid, doc_id, text and the list of all records about each document (null: none)."""
     each = records.groupBy("uid").agg(F.collect_list("records").alias("records"))
-    return numbered.select("uid", "doc_id", "text").join(each, "uid", how)
+    return numbered.select("uid", "doc_id", "text").join(each, "uid", "left")
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

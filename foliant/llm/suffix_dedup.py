@@ -304,7 +304,7 @@ def _pack(pieces: list[tuple[int, int, int, bytes]]) -> bytes:
     h, uid, first, text = zip(*pieces)
     head = [np.array(h, "<u8"), np.array(uid, "<i8"), np.array(first, "<u4"), np.array([len(t) for t in text], "<u2")]
     body = b"".join(text)
-    return np.array([len(pieces), len(body)], "<u4").tobytes() + b"".join(c.tobytes() for c in head) + pa.compress(body, "zstd", asbytes=True)
+    return np.array([len(pieces), len(body)], "<u4").tobytes() + b"".join(c.tobytes() for c in head) + pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)
 
 
 def _unpack(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
@@ -336,6 +336,9 @@ def repeated_strings(numbered: DataFrame, told: DataFrame, crowd: tuple[np.ndarr
             return dealt_rows([*by], [*map(_pack, by.values())], uids, ranges, fragments)
 
         for part in slices(batches, 2):
+            part = part.filter(part.column(3).is_valid())
+            if not part.num_rows:
+                continue
             data, bounds = utf8(part.column(2))
             pieces = Pieces(data, bounds)
             uid = part.column(0).to_pylist()
@@ -408,7 +411,8 @@ def repeated_strings(numbered: DataFrame, told: DataFrame, crowd: tuple[np.ndarr
                 uids, ranges = _ranges(*(np.array(c) for c in zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ranges, pa.binary())], ["uid", "records"])
 
-    dealt = with_records(numbered, told, "inner").mapInArrow(send, DEALT)
+    # A left join, as at the end, so that both use one exchange of the texts.
+    dealt = with_records(numbered, told).mapInArrow(send, DEALT)
     return gathered(dealt, parts).mapInArrow(meet, ABOUT)
 
 
