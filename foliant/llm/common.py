@@ -218,7 +218,7 @@ def text_bytes(numbered: DataFrame) -> int:
 
 
 #: Rows of one key that one task may get in a join, and keys that are broadcast.
-KEY_ROWS, BROADCAST_KEYS = 1 << 17, 1 << 20
+KEY_ROWS, BROADCAST_KEYS = 1 << 10, 1 << 20
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
