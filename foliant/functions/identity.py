@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .text import CAS, _string, latin_digits, name_tokens, squeeze
 
-#: Words that name no substance by themselves.
-GENERIC_NAMES = ["acid", "oxide", "dust", "fume", "fumes", "mist", "vapor", "vapour", "gas", "compound", "compounds", "salt", "salts", "and", "its", "as", "inorganic", "organic", "soluble", "insoluble", "total", "respirable", "inhalable"]
+#: Words that name no substance by themselves, Latin and Persian.
+GENERIC_LATIN = "acid acids oxide oxides chloride chlorides alcohol alcohols ether ethers ester esters amine amines anhydride hydrate solution dust salt salts as and the isomers compounds".split()
+GENERIC_PERSIAN = "اسید اکسید آمین امین الکل کلرید اتر استر نمک دی و ایزومرهای ایزومرها دمه ترکیبات همه به صورت نوع".split()
+GENERIC_NAMES = GENERIC_LATIN + GENERIC_PERSIAN
 
 
 def normalize_cas(c: Column | str) -> Column:

@@ -18,11 +18,10 @@ UNIT = r"ppm|ppb|mg/m3|mg/m³|µg/m3|mg/m|f/cc|%"
 
 def slash_decimal(numerator: Column, denominator: Column) -> Column:
     """`3/0` is 0.3, `0009/0` and `0/0009` are 0.0009, short `a/b` is a.b; else null."""
-    zero = lambda c: c.rlike("^0+$")
     return (
-        F.when(zero(denominator) & (F.length(denominator) == 1), F.concat(F.lit("0."), numerator))
-        .when((numerator == "0"), F.concat(F.lit("0."), denominator))
-        .when((F.length(numerator) <= 2) & (F.length(denominator) <= 1), F.concat(numerator, F.lit("."), denominator))
+        F.when((denominator == "0") & (numerator != ""), F.concat(F.lit("0."), numerator))
+        .when((numerator == "0") & denominator.rlike("^[0-9]+$"), F.concat(F.lit("0."), denominator))
+        .when((F.length(numerator) <= 2) & (F.length(denominator) == 1), F.concat(numerator, F.lit("."), denominator))
     )
 
 

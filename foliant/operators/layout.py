@@ -108,9 +108,9 @@ def extrapolate(rows: DataFrame, by: str, order: str, y: str, single: float = 30
     whole = Window.partitionBy(by)
     held = held.withColumn("_k", F.slice(F.sort_array(F.collect_list(known).over(whole)), 1, 2))
     one, two = F.get("_k", F.lit(0)), F.get("_k", F.lit(1))
-    spacing = F.when(two.isNotNull(), (two["y"] - one["y"]) / (two["i"] - one["i"])).otherwise(single)
+    spacing = F.when(two.isNotNull(), F.coalesce(F.try_divide(two["y"] - one["y"], two["i"] - one["i"]), F.lit(single))).otherwise(single)
     a, b = F.col("_a"), F.col("_b")
-    between = a["y"] + (b["y"] - a["y"]) * (F.col(order) - a["i"]) / (b["i"] - a["i"])
+    between = F.when(b["i"] == a["i"], a["y"]).otherwise(a["y"] + F.try_divide((b["y"] - a["y"]) * (F.col(order) - a["i"]), b["i"] - a["i"]))
     guess = F.when(F.col(y).isNotNull(), F.col(y)).when(a.isNotNull() & b.isNotNull(), between).when(a.isNotNull(), a["y"] + (F.col(order) - a["i"]) * spacing).when(b.isNotNull(), b["y"] - (b["i"] - F.col(order)) * spacing)
     return held.withColumn("y_resolved", guess).drop("_a", "_b", "_k")
 

@@ -41,4 +41,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import evaluation, facts, pages, retrieval, serving, state  # noqa: F401
+    from . import cells, evaluation, facts, pages, retrieval, serving, state, tables  # noqa: F401

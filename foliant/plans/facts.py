@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import GENERIC_NAMES
 from ..operators import gold, quality, reconcile, resolve, review, structured
 from .catalogue import query, table
 
@@ -187,12 +188,20 @@ def lease_expiry(spark: SparkSession, sf: str) -> DataFrame:
     return review.expire(states, F.lit(now)).select("event_id", "status", "expired")
 
 
-@query()
+_DECIDES = "kind IN ('approve', 'reject') AND status IN ('OPEN', 'CLAIMED') AND owner IS NOT NULL AND until >= ts"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, ts, ['claim', 'approve', 'release', 'claim', 'reject'][event_id % 5 + 1] AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, 'OPEN' AS status, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS TIMESTAMP) AS until, 0 AS version FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+SELECT user_id, i, s, CASE WHEN claims THEN 'reviewer' WHEN s = 'CLAIMED' THEN owner END, CASE WHEN claims THEN ts + INTERVAL 30 MINUTE WHEN s = 'CLAIMED' THEN until END, version + CASE WHEN decides THEN 1 ELSE 0 END FROM (
+  SELECT *, CASE WHEN claims THEN 'CLAIMED' WHEN kind = 'release' AND owner IS NOT NULL THEN 'OPEN' WHEN decides THEN upper(kind) ELSE status END AS s FROM (
+    SELECT e.user_id, e.i, e.ts, kind, status, owner, until, version, kind = 'claim' AND status IN ('OPEN', 'CLAIMED') AS claims, coalesce({_DECIDES}, false) AS decides FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+SELECT user_id, arg_max(status, i) AS status, arg_max(coalesce(owner, ''), i) AS owner, CAST(arg_max(version, i) AS INT) AS version FROM f GROUP BY user_id""")
 def review_task_states(spark: SparkSession, sf: str) -> DataFrame:
     """Tasks (users) folded over their events as claims, releases and decisions."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("claim", "approve", "release", "claim", "reject")]), (F.col("event_id") % 5 + 1).cast("int"))
     events = table(spark, sf, "events").select("user_id", "event_id", kind.alias("kind"), F.lit("reviewer").alias("actor"), "ts")
-    return review.task_states(events, "user_id", "event_id", "kind", "actor", "ts")
+    return review.task_states(events, "user_id", "event_id", "kind", "actor", "ts").select("user_id", "status", F.coalesce("owner", F.lit("")).alias("owner"), "version")
 
 
 @query("""WITH n AS (SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(p_name), '[\\s,;:()\\[\\]/\\\\.-]+'), lambda x: x <> ''))), ' ') AS k FROM part)
@@ -205,7 +214,25 @@ def same_token_sets(spark: SparkSession, sf: str) -> DataFrame:
     return held.groupBy("token_set").agg(F.count("*").alias("parts")).filter("parts > 1")
 
 
-@query()
+_SPLIT = r"list_distinct(list_filter(string_split_regex({}, '[\s,;:()\[\]/\\.-]+'), lambda x: x <> ''))"
+_PLAIN = "[" + ", ".join(f"'{w}'" for w in GENERIC_NAMES) + "]"
+_SPECIAL = f"list_filter({_SPLIT}, lambda x: NOT list_contains({_PLAIN}, x))"
+
+
+@query(
+    rf"""WITH q AS (SELECT p_partkey AS q, lower(trim(regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE 'limit of ' || p_name END, '\s+', ' ', 'g'))) AS t FROM part),
+r AS (SELECT p_partkey AS k, lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) AS n FROM part),
+qs AS (SELECT *, list_sort({_SPLIT.format('t')}) AS a, {_SPECIAL.format('t')} AS s, string_split(t, ' ') AS w FROM q), rs AS (SELECT *, list_sort({_SPLIT.format('n')}) AS a, {_SPECIAL.format('n')} AS s FROM r),
+runs AS (SELECT DISTINCT q, array_to_string(w[i:i + m], ' ') AS n FROM (SELECT q, w, i, unnest(generate_series(0, least(len(w) - i, 7))) AS m FROM (SELECT q, w, unnest(generate_series(1, len(w))) AS i FROM qs))),
+phrases AS (SELECT runs.q, rs.k FROM runs JOIN rs USING (n) WHERE len(rs.s) > 0 QUALIFY rank() OVER (PARTITION BY runs.q ORDER BY length(n) DESC) = 1),
+shared AS (SELECT q, k, 0.8::DOUBLE * count(*) / any_value(c) AS score FROM (SELECT q, unnest(s) AS x FROM qs) JOIN (SELECT k, len(s) AS c, unnest(s) AS x FROM rs) USING (x) GROUP BY q, k),
+m AS (SELECT q, k, 1.0::DOUBLE AS score, 'exact' AS strategy FROM qs JOIN rs ON t = n UNION ALL SELECT q, k, 0.9, 'token_set' FROM qs JOIN rs ON qs.a = rs.a WHERE len(qs.s) > 0
+  UNION ALL SELECT q, k, 0.85, 'phrase' FROM phrases UNION ALL SELECT q, k, score, 'token_overlap' FROM shared WHERE score >= 0.5),
+b AS (SELECT q, k, max(score) AS score, arg_max(strategy, score) AS strategy FROM m GROUP BY q, k),
+o AS (SELECT *, lead(score) OVER w AS after FROM b WINDOW w AS (PARTITION BY q ORDER BY score DESC, k) QUALIFY row_number() OVER w = 1)
+SELECT qs.q, CASE WHEN NOT coalesce(score - after < 0.05, false) THEN k END AS p_partkey, round(score, 6) AS score, strategy, CASE WHEN o.q IS NULL THEN 'NOT_FOUND' WHEN coalesce(score - after < 0.05, false) THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status
+FROM qs LEFT JOIN o ON qs.q = o.q"""
+)
 def entity_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Half-remembered part names to parts: exact, by token set, by phrase, or ambiguous."""
     part = table(spark, sf, "part").select("p_partkey", "p_name")

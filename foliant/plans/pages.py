@@ -136,9 +136,9 @@ def heading_carry_forward(spark: SparkSession, sf: str) -> DataFrame:
     return layout.carry_forward(held, "conv_id", "turn", "own", "heading").select("conv_id", "turn", "heading")
 
 
-@query("""SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_returnflag END) AS column_1, max(CASE WHEN l_linenumber = 2 THEN l_returnflag END) AS column_2, max(CASE WHEN l_linenumber = 3 THEN l_returnflag END) AS column_3 FROM lineitem GROUP BY 1""")
+@query("SELECT l_orderkey, " + ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN l_returnflag END) AS column_{i}" for i in range(1, 8)) + " FROM lineitem GROUP BY 1")
 def grid_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.pivot_grid(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", "l_returnflag", [1, 2, 3])
+    return layout.pivot_grid(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", "l_returnflag", list(range(1, 8)))
 
 
 @query()

@@ -182,9 +182,15 @@ def ir_metrics_mean(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.mean_metrics(metrics.retrieval_metrics(_cases(spark, sf)), _METRICS, places=5)
 
 
-@query("SELECT vec_id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) = 0 THEN 'empty' WHEN len(embedding) <> 64 THEN 'dimension' END AS reason FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64")
+_SPOILT = "CASE vec_id % 50 WHEN 7 THEN NULL WHEN 8 THEN {cut} WHEN 9 THEN {one} ELSE embedding END"
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_SPOILT.format(cut='embedding[1:0]', one='embedding[1:5]')} AS v FROM embeddings)
+SELECT vec_id, CASE WHEN v IS NULL THEN 'missing' WHEN len(v) = 0 THEN 'empty' ELSE 'dimension' END AS reason FROM e WHERE v IS NULL OR len(v) <> 64""")
 def embedding_failures(spark: SparkSession, sf: str) -> DataFrame:
-    return vector.embedding_failures(table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
+    """Vectors, some of them taken away, emptied or cut short."""
+    held = table(spark, sf, "embeddings").select("vec_id", F.expr(_SPOILT.format(cut="slice(embedding, 1, 0)", one="slice(embedding, 1, 5)")).alias("v"))
+    return vector.embedding_failures(held, "vec_id", "v", 64)
 
 
 @query(f"""

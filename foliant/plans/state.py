@@ -34,13 +34,26 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return state.session_totals(table(spark, sf, "events"), "user_id", "ts", "value").withColumn("total", F.round("total", 6))
 
 
-@query()
+_EACH = "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(
+    _EACH
+    + """, f AS (SELECT user_id, i, t, CAST(2.0 AS DOUBLE) - 1 AS tokens, 1 AS allowed, 0 AS denied FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.i, e.t, CASE WHEN least(2.0, tokens + (e.t - f.t) / 1e6 * 0.001) >= 1 THEN least(2.0, tokens + (e.t - f.t) / 1e6 * 0.001) - 1 ELSE least(2.0, tokens + (e.t - f.t) / 1e6 * 0.001) END,
+  allowed + CAST(least(2.0, tokens + (e.t - f.t) / 1e6 * 0.001) >= 1 AS INT), denied + CAST(least(2.0, tokens + (e.t - f.t) / 1e6 * 0.001) < 1 AS INT) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, CAST(max(allowed) AS BIGINT) AS allowed, CAST(max(denied) AS BIGINT) AS denied FROM f GROUP BY user_id"""
+)
 def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
     """What a bucket of 2 tokens, filled every 1,000 s, lets each user do (a stateful fold)."""
     return state.token_bucket(table(spark, sf, "events"), "user_id", "ts", ["event_id"], rate=0.001, burst=2.0)
 
 
-@query()
+@query(
+    _EACH
+    + """, f AS (SELECT user_id, i, t AS fill, 0 AS hits FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.t - fill < 21600000000 THEN fill ELSE e.t END, hits + CAST(e.t - fill < 21600000000 AS INT) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, count(*) AS requests, CAST(max(hits) AS BIGINT) AS hits FROM f GROUP BY user_id"""
+)
 def cache_hit_rates(spark: SparkSession, sf: str) -> DataFrame:
     return state.cache_hits(table(spark, sf, "events"), "user_id", "ts", 6 * 3600)
 

@@ -54,7 +54,7 @@ def classic_cells(raw: DataFrame, key: str, body: str) -> DataFrame:
     return cell.select(key, "page_number", "table_index", "row_index", "column_index", F.trim(F.array_join(parts, "")).alias("text"), F.col("c.layout.confidence").alias("confidence"))
 
 
-#: Depth to which nested blocks are followed; deeper ones raise, so none is lost in silence.
+#: Levels of nested blocks that are read at once; deeper ones come as JSON and are read in the next round.
 DEPTH = 6
 
 
@@ -69,14 +69,19 @@ def layout_blocks(raw: DataFrame, key: str, body: str) -> DataFrame:
     doc = raw.filter(extraction_kind(body) == "layout").select(key, F.from_json(body, schema).alias("d"))
     level = doc.select(key, F.posexplode("d.documentLayout.blocks").alias("i", "b")).select(key, F.format_string("%04d", "i").alias("path"), F.col("b.pageSpan.pageStart").alias("page_number"), "b")
     out = None
-    for depth in range(DEPTH, -1, -1):
-        found = level.filter("b.textBlock is not null").select(key, "path", "page_number", F.col("b.textBlock.type").alias("kind"), F.col("b.textBlock.text").alias("text"))
-        out = found if out is None else out.unionByName(found)
-        if not depth:
-            break
-        inner = level.select(key, "path", "page_number", F.posexplode("b.textBlock.blocks").alias("i", "b"))
-        level = inner.select(key, F.concat("path", F.lit("."), F.format_string("%04d", "i")).alias("path"), F.coalesce("b.pageSpan.pageStart", "page_number").alias("page_number"), "b")
-    return out
+    while True:
+        for depth in range(DEPTH, -1, -1):
+            found = level.filter("b.textBlock is not null").select(key, "path", "page_number", F.col("b.textBlock.type").alias("kind"), F.col("b.textBlock.text").alias("text"))
+            out = found if out is None else out.unionByName(found)
+            inner = level.select(key, "path", "page_number", F.posexplode("b.textBlock.blocks").alias("i", "b"))
+            path = F.concat("path", F.lit("."), F.format_string("%04d", "i")).alias("path")
+            if not depth:
+                break
+            level = inner.select(key, path, F.coalesce("b.pageSpan.pageStart", "page_number").alias("page_number"), "b")
+        if not inner.limit(1).count():
+            return out
+        level = inner.select(key, path, "page_number", F.from_json("b", _block_type(DEPTH)).alias("b"))
+        level = level.select(key, "path", F.coalesce("b.pageSpan.pageStart", "page_number").alias("page_number"), "b")
 
 
 def layout_cells(raw: DataFrame, key: str, body: str) -> DataFrame:

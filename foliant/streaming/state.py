@@ -112,19 +112,18 @@ def session_slots_stream(stream: DataFrame, session: str, turn: str, names: list
 
 
 def cache_hits(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """Events with whether a cache filled at a miss and good for `seconds` would have answered them.
+    """(key, requests, hits): how many events a cache filled at a miss and good for `seconds` would have answered.
 
     The time of the fill is folded along each key: a hit doesn't renew an entry.
     """
-    ordered = F.sort_array(F.collect_list(F.struct(micros(at).alias("t"))))
-    empty = F.array().cast("array<struct<t:bigint,fill:bigint,hit:boolean>>")
+    ordered = F.sort_array(F.collect_list(micros(at)))
+    start = F.struct(F.lit(None).cast("long").alias("fill"), F.lit(0).cast("long").alias("hits"))
 
-    def step(done: Column, e: Column) -> Column:
-        fill = F.try_element_at(done, F.lit(-1))["fill"]
-        hit = F.coalesce(e["t"] - fill < seconds * 1_000_000, F.lit(False))
-        return F.concat(done, F.array(F.struct(e["t"].alias("t"), F.when(hit, fill).otherwise(e["t"]).alias("fill"), hit.alias("hit"))))
+    def step(s: Column, t: Column) -> Column:
+        hit = F.coalesce(t - s["fill"] < seconds * 1_000_000, F.lit(False))
+        return F.struct(F.when(hit, s["fill"]).otherwise(t).alias("fill"), (s["hits"] + hit.cast("long")).alias("hits"))
 
-    return events.groupBy(key).agg(F.aggregate(ordered, empty, step).alias("d")).select(key, F.size("d").cast("long").alias("requests"), F.size(F.filter("d", lambda x: x["hit"])).cast("long").alias("hits"))
+    return events.groupBy(key).agg(F.count("*").alias("requests"), F.aggregate(ordered, start, step)["hits"].alias("hits"))
 
 
 def distinct_within(stream: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:

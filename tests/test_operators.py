@@ -217,10 +217,15 @@ def test_routing(spark):
         "what is the weather in the city today": ("REJECT", None),
         "TWA of acetone?": ("PASS", "STRUCTURED.OEL.TWA_LOOKUP"),
         "what is TWA": ("PASS", "SEMANTIC.DEFINITION.TWA"),
-        "67-64-2 limit": ("PASS", "GUARDRAIL.INVALID_INPUT"),
-        "calculate the vibration exposure": ("PASS", "FORMULA.CALCULATION.VIBRATION"),
+        "67-64-2 limit": ("PASS", "STRUCTURED.OEL.BY_CAS"),
+        "CAS 67-64-2 معتبر است؟": ("PASS", "GUARDRAIL.INVALID_INPUT"),
+        "calculate the vibration exposure": ("PASS", "CLARIFY.MISSING_EXPOSURE_VALUE"),
+        "محاسبه کن ahw1=2.5 t1=4": ("PASS", "FORMULA.CALCULATION.VIBRATION_AHV"),
+        "حد مجاز بنزن چقدر است و TWA یعنی چی؟": ("PASS", "HYBRID.LOOKUP_AND_EXPLAIN"),
+        "STEL یعنی چی؟": ("PASS", "SEMANTIC.DEFINITION.STEL"),
+        "حد؟": ("CLARIFY", "CLARIFY.MISSING_CHEMICAL"),
         "hello there": ("CLARIFY", None),
-        "": ("REJECT", None),
+        "": ("BLOCK", None),
     }
     df = spark.createDataFrame(list(enumerate(asked)), "i int, text string")
     got = {r["i"]: r for r in routing.route(df, "text").collect()}
