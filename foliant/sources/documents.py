@@ -78,7 +78,7 @@ def layout_blocks(raw: DataFrame, key: str, body: str) -> DataFrame:
             if not depth:
                 break
             level = inner.select(key, path, F.coalesce("b.pageSpan.pageStart", "page_number").alias("page_number"), "b")
-        if not inner.limit(1).count():
+        if not inner.agg(F.count("i")).first()[0]:
             return out
         level = inner.select(key, path, "page_number", F.from_json("b", _block_type(DEPTH)).alias("b"))
         level = level.select(key, "path", F.coalesce("b.pageSpan.pageStart", "page_number").alias("page_number"), "b")

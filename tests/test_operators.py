@@ -87,7 +87,7 @@ def test_request_categories(spark):
 
 def test_resolution(spark):
     registry = spark.createDataFrame(
-        [(1, "Acetic acid", ["ethanoic acid"], "64-19-7"), (2, "Acetone", ["propanone", "shared"], "67-64-1"), (3, "Methyl acetone", ["shared"], None), (4, "Twin", None, None), (5, "twin", None, None), (6, "Benzene vapour", None, None)],
+        [(1, "Acetic acid", ["ethanoic acid"], "64-19-7"), (2, "Acetone", ["propanone", "shared"], "67-64-1"), (3, "Methyl acetone", ["shared"], None), (4, "Twin", None, None), (5, "twin", None, None), (6, "Benzene solution", None, None)],
         "id int, name string, aliases array<string>, cas string",
     )
     asked = {"acid, acetic": (1, "token_set"), "ACETONE": (2, "exact"), "Propanone": (2, "alias"), "67-64-1": (2, "number"), "limit of acetone please": (2, "phrase"), "twin": (None, "AMBIGUOUS"), "shared": (None, "AMBIGUOUS"), "acid": (None, "NOT_FOUND"), "benzene": (6, "token_overlap"), "nothing": (None, "NOT_FOUND")}

@@ -162,3 +162,22 @@ def test_snapshots(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "t")).count() == n
     records.write_lines(spark.range(2), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_blocks_of_any_depth(spark):
+    """Nested blocks come whole, however deep they lie."""
+    import json
+
+    from foliant.sources import documents
+
+    def nest(n):
+        block = {"textBlock": {"text": f"level {n}", "type": "paragraph"}}
+        if n < 20:
+            block["textBlock"]["blocks"] = [nest(n + 1)]
+        return block
+
+    body = json.dumps({"documentLayout": {"blocks": [{**nest(0), "pageSpan": {"pageStart": 3, "pageEnd": 3}}]}})
+    df = spark.createDataFrame([("a", body)], "id string, body string")
+    got = sorted((r["path"], r["text"], r["page_number"]) for r in documents.layout_blocks(df, "id", "body").collect())
+    assert [t for _, t, _ in got] == [f"level {n}" for n in range(21)] and {p for _, _, p in got} == {3}
+    assert got[20][0] == ".".join(["0000"] * 21)
