@@ -35,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import identified, partitions, shared_folder, slices, with_doc_ids
+from .common import cut, identified, partitions, shared_folder, slices, with_doc_ids
 from .tokens import encoder
 
 MAGIC = b"FOLSST01"
 FOOTER = struct.Struct("<QQQQQ8s")
 BLOCK_BYTES, BLOOM_BITS_PER_KEY, BLOOM_PROBES = 64 << 10, 10, 7
+#: Of keys divisible by this a read checks that a lookup (filter, index, block) gives what the scan gives.
+LOOKED_UP = 50
 
 
 def key_of(uid: int) -> bytes:
@@ -227,8 +229,10 @@ def read_store(spark: SparkSession, folder: str, manifest: list[tuple]) -> DataF
         for batch in batches:
             for name, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 with fs.open_input_file(f"{top}/{name}") as source:
-                    found = []
-                    for uid, ids in ShardReader(source).scan():
+                    found, reader = [], ShardReader(source)
+                    for uid, ids in reader.scan():
+                        if uid % LOOKED_UP == 0 and reader.get(uid) != ids:
+                            raise ValueError(f"{name}: lookup of {uid} differs from the scan")
                         found.append((uid, start, len(ids) // 4, zlib.crc32(ids)))
                         start += len(ids) // 4
                         if len(found) == 8192:
@@ -244,9 +248,16 @@ def read_store(spark: SparkSession, folder: str, manifest: list[tuple]) -> DataF
 
 
 def store_round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Write the store and read it back: doc_id, start, n_tokens, ids_crc32."""
+    """Write the store and read it back: doc_id, start, n_tokens, ids_crc32.  With `folder` the store stays there."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
     numbered, plain = identified(docs)
-    found = read_store(spark, folder, write_store(numbered, folder, vocabulary, end_id))
+    if folder:
+        return with_doc_ids(read_store(spark, folder, write_store(numbered, folder, vocabulary, end_id)), numbered, plain)
+    # A store of its own goes, with drafts of tasks that failed, when it has been read.
+    folder = f"{shared_folder(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
+    try:
+        found = cut(read_store(spark, folder, write_store(numbered, folder, vocabulary, end_id)))
+    finally:
+        where, path = _files(folder)
+        where.delete_dir(path)
     return with_doc_ids(found, numbered, plain)
