@@ -8,7 +8,8 @@ In a document only windows of an item's number of words matter, of whose shingle
 SIMILARITY are shingles of some item (others cannot reach it).  They get a fingerprint as
 well.  The index holds, for each of BLOCKS blocks of 16 bits, the items by value.  As
 RADIUS < 4 * BLOCKS, a fingerprint within RADIUS differs in at most 3 bits in some block, so
-looking up all values within 3 bits of each block finds every item within RADIUS.  Of those
+looking up all values within 3 bits of each block (among the items of the window's size)
+finds every item within RADIUS.  Of those
 the exact weighted Jaccard similarity of shingle counts decides.  Two windows of similarity
 0.75 differ in about 44 of 256 bits with a deviation of 6, so RADIUS is over three deviations
 away for the least similar pairs that count, and further for all others.
@@ -35,7 +36,7 @@ SIZE, SIMILARITY = 5, 0.75
 BITS, BLOCKS, RADIUS = 256, 16, 63
 #: Bytes that one block of items takes in a task, and shingles whose fingerprints are summed at a time.
 ITEM_BYTES, SPAN = 64 << 20, 1 << 14
-#: Pairs of windows and values looked up at a time.
+#: Values looked up or gone through at a time.
 LOOK_UP = 1 << 20
 
 _U = np.uint64
@@ -101,8 +102,13 @@ class Index:
         self.shingles = np.frombuffer(b"".join(r["shingles"] for r in rows), "<u8")
         self.counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<u4")
         self.begin = np.cumsum([0, *(len(r["counts"]) // 4 for r in rows)])
-        self.order = np.argsort(self.prints, axis=0, kind="stable").astype(np.int32)
-        self.first = np.stack([np.searchsorted(self.prints[self.order[:, b], b], np.arange((1 << 16) + 1)) for b in range(BLOCKS)]).astype(np.int32)
+        self.classes = {int(n): np.flatnonzero(self.words == n) for n in np.unique(self.words)}
+        # Of a class with many items also the items by value, block by block.
+        self.by_value = {}
+        for n, items in self.classes.items():
+            if len(items) > len(NEAR):
+                order = np.argsort(self.prints[items], axis=0, kind="stable")
+                self.by_value[n] = items[order], np.take_along_axis(self.prints[items], order, axis=0)
         size = np.minimum(SIZE, self.words)
         #: by shingle size: the sizes of items in words, and all their shingles
         self.sizes = {int(k): np.unique(self.words[size == k]) for k in np.unique(size)}
@@ -110,22 +116,31 @@ class Index:
         self.known = {k: np.unique(self.shingles[of == k]) for k in self.sizes}
 
     def look_up(self, prints: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of prints, item of n_words words) within RADIUS."""
-        found = []
+        """Pairs (row of prints, item of n_words words) within RADIUS.
+
+        The values of a block that are within 3 bits are looked up among those of the class, or,
+        where the class has fewer values than there are near ones, its values are gone through.
+        """
+        items, found = self.classes.get(n_words, np.empty(0, np.int64)), []
+        if n_words not in self.by_value:
+            step = max(1, LOOK_UP // (BLOCKS * max(1, len(items))))
+            for low in range(0, len(prints), step):
+                away = np.bitwise_count(prints[low : low + step, None, :] ^ self.prints[items][None]).sum(axis=2)
+                row, col = np.nonzero(away <= RADIUS)
+                found.append((row + low, items[col]))
+            return (np.concatenate([r for r, _ in found]), np.concatenate([i for _, i in found])) if found else (items[:0], items[:0])
+        held, values = self.by_value[n_words]
         step = max(1, LOOK_UP // len(NEAR))
         for low in range(0, len(prints), step):
             some = prints[low : low + step]
             for b in range(BLOCKS):
-                value = (some[:, b, None] ^ NEAR).astype(np.int64)
-                first = self.first[b][value]
-                count = self.first[b][value + 1] - first
+                value = some[:, b, None] ^ NEAR
+                first = np.searchsorted(values[:, b], value, "left")
+                count = np.searchsorted(values[:, b], value, "right") - first
                 row, col = np.nonzero(count)
-                if len(row):
-                    n = count[row, col].astype(np.int64)
-                    item = self.order[np.repeat(first[row, col], n) + spread(n), b].astype(np.int64)
-                    row = np.repeat(row + low, n)
-                    right = self.words[item] == n_words
-                    found.append((row * len(self.ids) + item)[right])
+                n = count[row, col]
+                item = held[np.repeat(first[row, col], n) + spread(n), b]
+                found.append(np.repeat(row + low, n) * len(self.ids) + item)
         pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         row, item = pair // max(1, len(self.ids)), pair % max(1, len(self.ids))
         close = _distance(prints[row], self.prints[item]) <= RADIUS
@@ -160,6 +175,7 @@ def find(words: Words, index: Index, similarity: float = SIMILARITY) -> dict[tup
             continue
         doc = words.doc[at]
         hits = np.concatenate([[0], np.cumsum(hit)])
+        whole = _sums(h) if len(h) <= SPAN else None  # else span by span
         for n in sizes.tolist():
             m = n - k + 1
             if len(at) < m:
@@ -170,7 +186,10 @@ def find(words: Words, index: Index, similarity: float = SIMILARITY) -> dict[tup
                 low = int(starts[0])
                 some = starts[: max(1, int(np.searchsorted(starts, low + SPAN)))]
                 starts = starts[len(some) :]
-                sums = _sums(h[low : int(some[-1]) + m])
+                if whole is not None:
+                    sums, low = whole, 0
+                else:
+                    sums = _sums(h[low : int(some[-1]) + m])
                 window, item = index.look_up(_fingerprints(sums[some - low + m] - sums[some - low]), n)
                 last, kinds, count = -1, None, None
                 for w, i in zip(window.tolist(), item.tolist()):

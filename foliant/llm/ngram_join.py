@@ -50,7 +50,7 @@ LEAST, SPLIT = 32, 12
 #: Classes that meet in a shingle are all paired up to CROWD; beyond, with the PIVOTS of least name (the same
 #: ones wherever the group meets) and their neighbours at first, then, for those outside the main component, with
 #: about MORE_PIVOTS, and at last all that are still apart, in blocks of BLOCK classes.
-CROWD, PIVOTS, MORE_PIVOTS, BLOCK = 24, 2, (16, 128), 1024
+CROWD, PIVOTS, MORE_PIVOTS, BLOCK = 24, 2, (16, 128), 256
 #: Shingles a task holds before it deals them out, and those that one fragment should verify.
 HELD, FRAGMENT = 1 << 18, 1 << 19
 #: Cuts of the order in which the overlaps of one block of pairs are counted, and pairs of one class in a block.
