@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +173,33 @@ def test_quality(spark):
     assert sorted(rows(quality.acceptance(m, {"x": 0.8, "y": 0.1}), "metric", "met")) == [("x", True), ("y", False)]
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    pick = random.Random(5)
+    texts = [None, "", "a", "a", "ab"]
+    for _ in range(60):
+        words = "".join(pick.choice("abcde ") for _ in range(pick.choice([7, 12, 30, 55, 99, 100, 140])))
+        texts.append(words)
+        for edits in (1, 3, 6, 9, 10):
+            held = list(words)
+            for _ in range(edits):
+                at = pick.randrange(len(held) + 1)
+                held[at : at + pick.choice([0, 1, 1])] = pick.choice(["", "x", "y"])
+            texts.append("".join(held))
+    heads = [(t or "")[:100] for t in texts]
+    first = {h: heads.index(h) for h in heads}
+    want = {i: [i, first[h], heads.count(h) - 1] for i, h in enumerate(heads)}
+    for a in first:
+        for b in first:
+            if first[a] < first[b] and SequenceMatcher(None, a, b).ratio() > 0.9:
+                for i, h in enumerate(heads):
+                    want[i][2] += heads.count(b) if h == a else heads.count(a) if h == b else 0
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: [r["id"], r["class_id"], r["links"]] for r in quality.near_duplicates(rows, "id").collect()}
+    assert got == want
+    assert sum(v[2] for v in want.values()) > 100
+    assert quality.near_duplicates(rows.limit(0), "id").count() == 0
+
+
 def test_clusters(spark):
     df = spark.createDataFrame([([0.0, 10.0, 20.0, 30.0],), ([],)], "v array<double>")
     v = F.col("v")
