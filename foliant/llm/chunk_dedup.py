@@ -32,6 +32,8 @@ from .deal import ABOUT, DEALT, about, by_fragment, deal, dealt_rows, fragment_o
 
 #: A place every 2**BITS bytes on average; least and most bytes of a chunk.
 BITS, LEAST, MOST = 6, 48, 256
+#: Bytes that the gear hash looks at.
+WINDOW = 16
 #: Removed runs of this many bytes are passages rather than lines (counted in n_passages).
 PASSAGE = 256
 HELD = 1 << 18
@@ -40,11 +42,18 @@ _GEAR = (BYTE_VALUE >> np.uint64(13)).astype(np.uint32)
 _NONE = np.empty(0, np.int64)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash of the last 16 bytes at each place: each byte's value shifted by its distance."""
+def gear(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The gear hash of the last WINDOW bytes at each place: each byte's value shifted by its distance.
+
+    It starts anew in each text, so a text's chunks don't depend on what stands before it in the buffer.
+    """
     h = _GEAR[data]
     for step in (1, 2, 4, 8):
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
+    start, size = bounds[:-1], np.diff(bounds)
+    for k in range(WINDOW - 1):
+        at = start[size > k] + k
+        h[at] = _GEAR[data[at]] + (h[at - 1] << np.uint32(1) if k else 0)
     return h
 
 
@@ -62,7 +71,7 @@ def boundaries(data: np.ndarray, bounds: np.ndarray, bits: int = BITS, least: in
     lines = lines[(lines - before >= least) & (bounds[doc + 1] - lines >= least)]
     fixed = np.union1d(lines, bounds)
     # Places of the hash: whole characters only, and `least` bytes from those bounds.
-    place = np.flatnonzero((gear(data) >> np.uint32(16 - bits)) & np.uint32((1 << bits) - 1) == 0) + 1
+    place = np.flatnonzero((gear(data, bounds) >> np.uint32(16 - bits)) & np.uint32((1 << bits) - 1) == 0) + 1
     place = place[place < n]
     place = far(place[(data[place] & 0xC0) != 0x80])
     k = np.searchsorted(fixed, place, "right")

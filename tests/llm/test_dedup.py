@@ -251,6 +251,18 @@ def test_chunks_resist_insertions():
     assert len(a & b) >= len(a) - 4
 
 
+def test_chunks_are_the_texts_own():
+    """A text is cut in the same way whatever stands before it in the buffer."""
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        texts = [bytes(rng.integers(97, 123, int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(6)]
+        bounds = np.cumsum([0] + [len(t) for t in texts])
+        start, end, doc = chunk_dedup.chunks(np.frombuffer(b"".join(texts), np.uint8), bounds)
+        for d, t in enumerate(texts):
+            alone = chunk_dedup.chunks(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+            assert (start[doc == d] - bounds[d]).tolist() == alone[0].tolist() and (end[doc == d] - bounds[d]).tolist() == alone[1].tolist()
+
+
 def test_chunks_repeated_and_empty(repeated, empty):
     got = rows(chunk_dedup.dedup_chunks(repeated), "doc_id", "n_bytes", "n_removed")
     assert len(got) == 6 and sum(1 for _, n, g in got if n and n == g) == 2
