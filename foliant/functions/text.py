@@ -83,8 +83,12 @@ def canonical_text(c: Column | str) -> Column:
 
 
 def confirmed_fragments(c: Column | str) -> Column:
-    """Runs of three or more one- or two-letter pieces that join to 4 to 24 letters."""
-    runs = F.regexp_extract_all(_string(c), F.lit(r"((?U)\b\p{L}{1,2}(?:\s\p{L}{1,2}){2,}\b)"), F.lit(1))
+    """Runs of three or more one- or two-letter pieces that join to 4 to 24 letters.
+
+    Each piece ends at a boundary, so there is one way to read a run and nothing to go back to:
+    the possessive group is a loop, where a greedy one takes a stack frame for each piece.
+    """
+    runs = F.regexp_extract_all(_string(c), F.lit(r"((?U)\b\p{L}{1,2}(?:\s\p{L}{1,2}\b){2,}+)"), F.lit(1))
     return F.size(F.filter(runs, lambda x: F.length(F.regexp_replace(x, r"\s", "")).between(4, 24)))
 
 

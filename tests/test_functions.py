@@ -25,6 +25,11 @@ def values(spark):
     return run
 
 
+def test_fragments_of_any_length(values):
+    """A run of very many pieces is one match and takes no stack; a run ends before a longer word."""
+    assert values(text.confirmed_fragments, "ab c " * 100_000, "ab c de fgh", "ab c def", "a b cde fg h ij") == [0, 1, 0, 1]
+
+
 def test_persian_text(values):
     got = values(text.normalize_persian_text, "  كتاب‌علي ۱۲۳  ", "خانۀ  ٤٥", None)
     assert got == ["کتاب علی 123", "خانه 45", None]
