@@ -10,8 +10,10 @@
    Where many classes meet, they are paired with a few pivots only; the pairs that these
    leave open, between classes not yet in one component, follow in step 5.  A very frequent
    shingle is dealt in blocks of classes, and the blocks' pivots are paired.
-4. All shingles of paired classes are dealt to fragments again: pairs to blocks by their
-   first class (in several, if it has very many), and within a block the order is cut in
+4. A pair goes on if its sketches (counts of shingles by range of hashes), whose sum of least
+   counts bounds the overlap, leave a link possible.  All shingles of these classes are dealt to
+   fragments again: pairs to blocks by the least neighbour of their first class, so that those
+   that hang together meet in one (in several, if there are very many), and within a block the order is cut in
    CUTS.  Each fragment counts partial overlaps for its cut of each pair, and a sum for each
    pair gives the whole overlap, which decides.
 5. Pairs of classes that met among many, lie in different components, and pass the filters
@@ -57,6 +59,8 @@ HELD, FRAGMENT = 1 << 18, 1 << 19
 CUTS, PAIRS = 16, 1 << 14
 #: Classes to be verified are looked up by a broadcast of at most this many bytes, beyond by a join.
 BROADCAST_BYTES = 32 << 20
+#: A sketch counts the shingles of a set in equal ranges of hashes, BUCKET to 2 * BUCKET in a range.
+BUCKET = 4
 #: Names of classes that a task remembers.
 SEEN = 1 << 18
 
@@ -85,26 +89,45 @@ def _sets(batches: Iterator[pa.RecordBatch], clashes: np.ndarray, signature=_sig
         yield np.asarray(part.column(0)), doc, h, n, cid
 
 
+def _sketches(n: np.ndarray, doc: np.ndarray, h: np.ndarray) -> pa.Array:
+    """The sketch of each set: a byte for each of 2**k ranges (255: that many or more)."""
+    bits = np.log2(np.maximum(n // BUCKET, 1)).astype(np.int64)
+    size = np.int64(1) << bits
+    ends = np.cumsum(size)
+    place = (ends - size)[doc] + ((h >> _U(1)) >> (63 - bits[doc]).astype(_U)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=int(size.sum())), 255).astype(np.uint8)
+    return pa.array([counts[a:b].tobytes() for a, b in zip((ends - size).tolist(), ends.tolist())], pa.binary())
+
+
+def _most(x: bytes, y: bytes) -> int:
+    """The most that two sets of these sketches can have in common."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    a, b = (np.where(v == 255, 1 << 40, v) for v in (a, b))
+    k = min(len(a), len(b))
+    return int(np.minimum(a.reshape(k, -1).sum(axis=1), b.reshape(k, -1).sum(axis=1)).sum())
+
+
 def signatures(numbered: DataFrame) -> DataFrame:
-    """uid, n, cid, check of every document."""
+    """uid, n, cid, check, sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(*utf8(part.column(1)), lower=True)
-            n, cid, check = _signature(*shingles(words, SIZE), words.docs)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(cid.view(np.int64)), pa.array(check.view(np.int64))], ["uid", "n", "cid", "check"])
+            doc, h = shingles(words, SIZE)
+            n, cid, check = _signature(doc, h, words.docs)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(cid.view(np.int64)), pa.array(check.view(np.int64)), _sketches(n, doc, h)], ["uid", "n", "cid", "check", "sketch"])
 
-    return numbered.select("uid", "text").mapInArrow(run, "uid long, n long, cid long, check long")
+    return numbered.select("uid", "text").mapInArrow(run, "uid long, n long, cid long, check long, sketch binary")
 
 
 def classified(numbered: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """uid, n, cid of every document; cid, rep (least uid), n (copies) of every class that has a
+    """uid, n, cid of every document; cid, rep (least uid), n (copies), sketch of every class that has a
     shingle; and the names that two different sets would have had."""
     signed = cut(signatures(numbered))
 
     def classes() -> DataFrame:
         grouped = signed.filter("n > 0").groupBy("cid")
-        return cut(grouped.agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")))
+        return cut(grouped.agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.max("sketch").alias("sketch")))
 
     found = classes()
     # Names of 64 bits clash once in six thousand million classes, so there are a few at most.
@@ -112,7 +135,7 @@ def classified(numbered: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     if clashes:
         signed = signed.withColumn("cid", F.when(F.col("cid").isin(clashes), F.col("cid").bitwiseXOR(F.col("check"))).otherwise(F.col("cid")))
         found = classes()
-    return signed.select("uid", "n", "cid"), found.select("cid", "rep", "n"), np.array(clashes, dtype=np.int64).view(_U)
+    return signed.select("uid", "n", "cid"), found.select("cid", "rep", "n", "sketch"), np.array(clashes, dtype=np.int64).view(_U)
 
 
 def _dealt(fragment: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -277,22 +300,41 @@ def pivots_of_blocks(members: DataFrame) -> DataFrame:
     return both.filter(fits).select(a.alias("a"), "b", n.alias("na"), F.col("n").alias("nb"))
 
 
+def possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b, na, nb) of classes those whose sketches leave a link possible, as uids a, b of
+    their first documents; name: the first class's, in order."""
+    # From names to first documents.  A pivot may have very many pairs; another class comes second to few.
+    degree = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    first = classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra"), F.col("sketch").alias("sa")).join(degree, "a")
+    second = classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb"), F.col("sketch").alias("sb"))
+    both = join_counted(pairs, first, "a").join(second, "b").select("ra", "rb", "na", "nb", _unsigned("a").alias("name"), "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = np.array([_most(x, y) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())], dtype=np.int64)
+            near = most >= _need(np.asarray(batch.column(2)), np.asarray(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in range(5)], ["a", "b", "na", "nb", "name"])
+
+    return both.mapInArrow(run, "a long, b long, na long, nb long, name long")
+
+
 def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b, na, nb) of classes those whose whole overlap links them, as uids a, b of their first documents."""
     spark = numbered.sparkSession
-    # From names to first documents.  A pivot may have very many pairs; another class comes second to few.
-    degree = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
-    reps = classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")).join(degree, "a").withColumn("parts", F.ceil(F.col("n") / PAIRS))
-    named = join_counted(pairs, reps, "a").join(classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
-    named = cut(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "parts"))
+    named = cut(possible(classes, pairs))
     count, total = named.select(F.col("a").alias("uid"), F.col("na").alias("n")).union(named.select("b", "nb")).distinct().agg(F.count("*"), F.sum("n")).first()
     if not count:
         return named.select("a", "b").limit(0)
-    # Pairs of one first class share a block, or as many as it needs; a set goes to the blocks of its pairs.
+    # Pairs that hang together share a block: that of the first class's least neighbour.  Very many of one such
+    # class take as many blocks as they need; a set goes to the blocks of its pairs.
     blocks = -(-total // (CUTS * FRAGMENT))
+    lead = named.groupBy(F.col("b").alias("a")).agg(F.min("name").alias("least"))
+    heads = named.groupBy("a").agg(F.count("*").alias("n"), F.min("name").alias("own")).join(lead, "a", "left")
+    led = cut(join_counted(named, heads.select("a", "n", F.coalesce("least", "own").alias("lead")), "a"))
+    of = led.groupBy("lead").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), "parts")).otherwise(0)
-    block = F.pmod(F.pmod(F.xxhash64("a"), F.lit(1 << 40)) + part, F.lit(blocks)).cast("long")
-    placed = named.select("a", "b", "na", "nb", block.alias("block"))
+    block = F.pmod(F.pmod(F.xxhash64("lead"), F.lit(1 << 40)) + part, F.lit(blocks)).cast("long")
+    placed = cut(join_counted(led, of, "lead").select("a", "b", "na", "nb", block.alias("block")))
     nodes = placed.select(F.col("a").alias("uid"), "block").union(placed.select("b", "block")).distinct()
     wanted = cut(nodes.groupBy("uid").agg(F.collect_set("block").alias("blocks")))
     places = wanted.agg(F.sum(F.size("blocks"))).first()[0]

@@ -347,6 +347,41 @@ def test_join_clashing_names(spark, monkeypatch):
     assert components_of(df) == brute_components(texts)
 
 
+def test_sketches_bound_the_overlap():
+    """Never less than the overlap, also with full ranges; unlike sets of many shingles are told apart."""
+    rng = np.random.default_rng(3)
+
+    def sketch(h):
+        return ngram_join._sketches(np.array([len(h)]), np.zeros(len(h), np.int64), h)[0].as_py()
+
+    for n, m in ((1, 1), (9, 11), (300, 260), (2000, 1500), (1024, 1023)):
+        a, b = (rng.integers(0, 2**64, k, dtype=np.uint64) for k in (n, m))
+        for share in (0, n // 2, min(n, m)):
+            c = np.append(a[:share], b[share:m])
+            assert ngram_join._most(sketch(a), sketch(c)) >= len(np.intersect1d(a, c))
+        if n > 250:
+            assert ngram_join._most(sketch(a), sketch(b)) < ngram_join._need(np.array(n), np.array(m))
+    a = np.arange(2000, dtype=np.uint64)
+    assert ngram_join._most(sketch(a), sketch(a)) >= 2000
+
+
+def test_only_possible_pairs_are_verified(spark):
+    """Of pairs that met, those with a passage in common only don't get their sets dealt out."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    passage, body = word(60), word(600)
+    texts = {0: body, 1: body[:590] + word(10), 2: passage + word(500), 3: passage + word(520), 4: word(480) + passage}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    numbered, _ = ngram_join.identified(df)
+    _, classes, _ = ngram_join.classified(numbered)
+    sets = {r["rep"]: (r["cid"], len(shingles(" ".join(texts[r["rep"]])))) for r in classes.collect()}
+    pairs = [(*sorted((sets[i][0], sets[j][0])), 0, 0) for i in sets for j in sets if i < j]
+    size = dict(sets.values())
+    pairs = spark.createDataFrame([(a, b, size[a], size[b]) for a, b, _, _ in pairs], "a long, b long, na long, nb long")
+    assert [sorted(r[:2]) for r in ngram_join.possible(classes, pairs).collect()] == [[0, 1]]
+    assert [sorted(r) for r in ngram_join.verified(numbered, classes, pairs).collect()] == [[0, 1]]
+
+
 def test_links_of_each_document(spark, monkeypatch):
     """The join itself verifies every pair, in crowds as well."""
     monkeypatch.setattr(ngram_join, "CROWD", 3)
