@@ -203,6 +203,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that one partition of a table holds at least.
+PACKED_ROWS = 1 << 15
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """`cut` for narrow rows, read in no more partitions than they need.
+
+    Each task of a later shuffle leaves some files, however few its rows; unions add up partitions.
+    """
+    held = cut(df)
+    rows = held._jdf.queryExecution().toRdd()
+    parts = max(1, -(-rows.count() // PACKED_ROWS))
+    return held.coalesce(parts) if parts < rows.getNumPartitions() else held
+
+
 #: Bytes of text for which a shuffle gets one partition at least.
 PARTITION_BYTES = 64 << 20
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import packed
 
 #: Links that one task may hold (16 bytes each).
 ONE_TASK = 1 << 20
@@ -23,7 +23,7 @@ def _roots(parents: DataFrame) -> DataFrame:
     """parents (node, label), labels no larger than nodes: follow labels to their ends, doubling the way each time."""
     while True:
         above = parents.select(F.col("node").alias("at"), F.col("label").alias("above"))
-        step = cut(parents.join(above, parents["label"] == above["at"]).select("node", F.col("above").alias("label"), (F.col("above") != F.col("label")).alias("moved")))
+        step = packed(parents.join(above, parents["label"] == above["at"]).select("node", F.col("above").alias("label"), (F.col("above") != F.col("label")).alias("moved")))
         parents = step.select("node", "label")
         if not step.filter("moved").limit(1).count():
             return parents
@@ -58,21 +58,21 @@ def components(links: DataFrame) -> DataFrame:
     nodes.  Rounds are written to the shared folder; nothing is collected but whether any
     link is left.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = packed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if edges.count() <= ONE_TASK:
-        return cut(_in_one_task(edges))
+        return packed(_in_one_task(edges))
     labels = None
     while True:
         ends = edges.union(edges.select("b", "a"))
-        parents = _roots(cut(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))))
+        parents = _roots(packed(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))))
         if labels is None:
             labels = parents
         else:
             above = parents.select(F.col("node").alias("at"), F.col("label").alias("above"))
-            labels = cut(labels.join(above, labels["label"] == above["at"], "left").select("node", F.coalesce("above", "label").alias("label")))
+            labels = packed(labels.join(above, labels["label"] == above["at"], "left").select("node", F.coalesce("above", "label").alias("label")))
         high = parents.select(F.col("node").alias("a"), F.col("label").alias("ra"))
         low = parents.select(F.col("node").alias("b"), F.col("label").alias("rb"))
         ends = edges.join(high, "a").join(low, "b").filter("ra <> rb")
-        edges = cut(ends.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+        edges = packed(ends.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
         if not edges.limit(1).count():
             return labels

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, fmix, identified, join_counted, partitions, shingles, slices, spread, text_bytes, utf8
+from .common import Words, cut, fmix, identified, join_counted, packed, partitions, shingles, slices, spread, text_bytes, utf8
 from .deal import by_fragment, deal, fragment_of, fragments_of, gathered, undeal
 from .frequent import frequent_prints
 from .graph import components
@@ -304,7 +304,7 @@ def possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b, na, nb) of classes those whose sketches leave a link possible, as uids a, b of
     their first documents; name: the first class's, in order."""
     # From names to first documents.  A pivot may have very many pairs; another class comes second to few.
-    degree = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    degree = packed(pairs.groupBy("a").agg(F.count("*").alias("n")))
     first = classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra"), F.col("sketch").alias("sa")).join(degree, "a")
     second = classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb"), F.col("sketch").alias("sb"))
     both = join_counted(pairs, first, "a").join(second, "b").select("ra", "rb", "na", "nb", _unsigned("a").alias("name"), "sa", "sb")
@@ -321,7 +321,7 @@ def possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b, na, nb) of classes those whose whole overlap links them, as uids a, b of their first documents."""
     spark = numbered.sparkSession
-    named = cut(possible(classes, pairs))
+    named = packed(possible(classes, pairs))
     count, total = named.select(F.col("a").alias("uid"), F.col("na").alias("n")).union(named.select("b", "nb")).distinct().agg(F.count("*"), F.sum("n")).first()
     if not count:
         return named.select("a", "b").limit(0)
@@ -330,13 +330,13 @@ def verified(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     blocks = -(-total // (CUTS * FRAGMENT))
     lead = named.groupBy(F.col("b").alias("a")).agg(F.min("name").alias("least"))
     heads = named.groupBy("a").agg(F.count("*").alias("n"), F.min("name").alias("own")).join(lead, "a", "left")
-    led = cut(join_counted(named, heads.select("a", "n", F.coalesce("least", "own").alias("lead")), "a"))
+    led = packed(join_counted(named, heads.select("a", "n", F.coalesce("least", "own").alias("lead")), "a"))
     of = led.groupBy("lead").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), "parts")).otherwise(0)
     block = F.pmod(F.pmod(F.xxhash64("lead"), F.lit(1 << 40)) + part, F.lit(blocks)).cast("long")
-    placed = cut(join_counted(led, of, "lead").select("a", "b", "na", "nb", block.alias("block")))
+    placed = packed(join_counted(led, of, "lead").select("a", "b", "na", "nb", block.alias("block")))
     nodes = placed.select(F.col("a").alias("uid"), "block").union(placed.select("b", "block")).distinct()
-    wanted = cut(nodes.groupBy("uid").agg(F.collect_set("block").alias("blocks")))
+    wanted = packed(nodes.groupBy("uid").agg(F.collect_set("block").alias("blocks")))
     places = wanted.agg(F.sum(F.size("blocks"))).first()[0]
     small = 64 * count + 8 * places <= BROADCAST_BYTES
     chosen = numbered.select("uid", "text").join(F.broadcast(wanted) if small else wanted, "uid")
@@ -457,10 +457,10 @@ def open_pairs(members: DataFrame, labels: DataFrame, first: int | None) -> Data
     to each of these in blocks, so no task holds a crowd.
     """
     spark = members.sparkSession
-    known = cut(members.select("run", "a", "na", "nb").join(labels, "a"))
+    known = packed(members.select("run", "a", "na", "nb").join(labels, "a"))
     sizes = known.groupBy("run", "label").agg(F.count("*").alias("n"))
     runs = sizes.groupBy("run").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    runs = cut(runs.filter("kinds > 1").select("run", "main", "total", F.ceil(F.col("inside") / BLOCK).cast("long").alias("km"), F.ceil((F.col("total") - F.col("inside")) / BLOCK).cast("long").alias("ko")))
+    runs = packed(runs.filter("kinds > 1").select("run", "main", "total", F.ceil(F.col("inside") / BLOCK).cast("long").alias("km"), F.ceil((F.col("total") - F.col("inside")) / BLOCK).cast("long").alias("ko")))
     n_runs = runs.count()
     if not n_runs:
         return None
@@ -524,16 +524,16 @@ def open_pairs(members: DataFrame, labels: DataFrame, first: int | None) -> Data
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     """cid, rep, n, label of every class: the smallest first document that links lead to."""
     found = components(links).withColumnRenamed("node", "rep")
-    return cut(classes.join(found, "rep", "left").select("cid", "rep", "n", F.coalesce("label", "rep").alias("label")))
+    return packed(classes.join(found, "rep", "left").select("cid", "rep", "n", F.coalesce("label", "rep").alias("label")))
 
 
 def _first_pairs(numbered: DataFrame, clashes: np.ndarray, size: int) -> tuple[DataFrame, DataFrame]:
     """Pairs a, b, na, nb to be verified first, and members of crowds."""
-    found = cut(candidates(numbered, frequent_shingles(numbered, size), clashes, size))
+    found = packed(candidates(numbered, frequent_shingles(numbered, size), clashes, size))
     pairs, members = found.filter("run is null").select("a", "b", "na", "nb"), found.filter("run is not null")
     if members.filter("top").limit(1).count():
         pairs = pairs.unionByName(pivots_of_blocks(members))
-    return cut(pairs.distinct()), members
+    return packed(pairs.distinct()), members
 
 
 def join_components(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, bool]:
@@ -542,7 +542,7 @@ def join_components(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, Da
     size = text_bytes(numbered)
     signed, classes, clashes = classified(numbered)
     pairs, members = _first_pairs(numbered, clashes, size)
-    links = cut(verified(numbered, classes, pairs))
+    links = packed(verified(numbered, classes, pairs))
     labels = _labels(classes, links)
     if members.limit(1).count():
         known = pairs.select("a", "b")
@@ -550,9 +550,9 @@ def join_components(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, Da
             more = open_pairs(members, labels.select(F.col("cid").alias("a"), "label"), first)
             if more is None:
                 break
-            more = cut(more.join(known, ["a", "b"], "left_anti"))
+            more = packed(more.join(known, ["a", "b"], "left_anti"))
             if more.limit(1).count():
-                links = cut(links.unionByName(verified(numbered, classes, more)))
+                links = packed(links.unionByName(verified(numbered, classes, more)))
                 known = known.unionByName(more.select("a", "b"))
                 labels = _labels(classes, links)
     special = labels.filter("n > 1 or label <> rep").select("cid", "label", "n")
@@ -582,7 +582,7 @@ def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, members = _first_pairs(numbered, clashes, size)
     more = open_pairs(members, classes.select(F.col("cid").alias("a"), F.col("rep").alias("label")), None)
     if more is not None:
-        pairs = cut(pairs.unionByName(more).distinct())
+        pairs = packed(pairs.unionByName(more).distinct())
     of = join_counted(signed.filter("n > 0").select("uid", "cid"), classes.select("cid", "n", F.col("rep").alias("first")), "cid")
     return verified(numbered, classes, pairs), numbered.select("uid", "doc_id").join(of.select("uid", "first"), "uid")
 
@@ -590,8 +590,8 @@ def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link_counts(docs: DataFrame) -> DataFrame:
     """uid, doc_id, n_links: how many other documents each document with a shingle links with."""
     pairs, members = similar_pairs(docs)
-    members = cut(members)
-    size = cut(members.groupBy("first").agg(F.count("*").alias("n")))
+    members = packed(members)
+    size = packed(members.groupBy("first").agg(F.count("*").alias("n")))
     ends = pairs.select(F.col("a").alias("first"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     linked = ends.join(size.withColumnsRenamed({"first": "other", "n": "copies"}), "other").groupBy("first").agg(F.sum("copies").alias("others"))
     each = size.join(linked, "first", "left").select("first", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
@@ -601,7 +601,7 @@ def link_counts(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns."""
     numbered, found, _ = join_components(docs, whole=True)
-    others = cut(found.filter("component <> uid").select("uid"))
+    others = packed(found.filter("component <> uid").select("uid"))
     gone = F.broadcast(others) if 24 * others.count() <= BROADCAST_BYTES else others
     kept = numbered.join(gone, "uid", "left_anti")
     return kept.select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -93,3 +93,29 @@ def test_frequent_prints(spark):
     assert levels.tolist() == np.log2(n[n >= 8]).astype(int).tolist()
     few, some = frequent_prints(df, hashes, 8, most=int((n >= 32).sum()))
     assert few.tolist() == kinds[n >= 32].tolist() and set(some.tolist()) == {5}
+
+
+def test_packed_tables_leave_few_tasks(spark, monkeypatch):
+    """Narrow tables come back in as many partitions as their rows need, with all rows, whatever unions added up."""
+    wide = spark.range(0, 90, 1, 30).union(spark.range(90, 100, 1, 30))
+    held = common.packed(wide)
+    assert held.rdd.getNumPartitions() == 1 and sorted(r[0] for r in held.collect()) == list(range(100))
+    assert common.packed(wide.filter("id < 0")).count() == 0
+    monkeypatch.setattr(common, "PACKED_ROWS", 30)
+    held = common.packed(wide)
+    assert held.rdd.getNumPartitions() == 4 and sorted(r[0] for r in held.collect()) == list(range(100))
+    assert common.packed(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_join_reads_its_small_tables_in_few_tasks(spark, monkeypatch):
+    """Each task of a shuffle leaves files: pairs, links and labels of a small join take one task, not one for each partition."""
+    from foliant.llm import ngram_join
+
+    tasks = []
+    packed = ngram_join.packed
+    monkeypatch.setattr(ngram_join, "packed", lambda df: [held := packed(df), tasks.append(held.rdd.getNumPartitions())][0])
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 60 - i % 3])) for i in range(40)] + [(99, "all alone here")], "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == {i: 0 for i in range(40)} | {99: 99}
+    assert len(tasks) > 5 and set(tasks) == {1}
